@@ -50,7 +50,8 @@ def main():
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
     conf = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-            "spark.driver.memory": "12g"}
+            "spark.driver.memory": "12g",
+            "spark.ui.showConsoleProgress": "false"}
     spark = build_session("check", "local[8]", **conf)
     spark.sparkContext.setLogLevel("ERROR")
     if a.range:

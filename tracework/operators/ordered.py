@@ -36,6 +36,11 @@ def range_cuts(df: DataFrame, by: str) -> list[float]:
     return sorted(set(cuts))
 
 
+def later_cuts(cuts: Sequence[float], df: DataFrame, by: str) -> list[float]:
+    """Cuts for a frame derived from one that was already measured (never larger than it)."""
+    return range_cuts(df, by) if cuts else []
+
+
 def add_range(df: DataFrame, by: str, cuts: Sequence[float], out: str = RANGE) -> DataFrame:
     """Number of the range the value of ``by`` falls into."""
     tmp = f"{out}_v"

@@ -67,7 +67,7 @@ def _register(family, name):
     def _(t):
         d = family(t.series, KEYS, ORD, "v").select(*KEYS, name)
         if name in TIED:
-            return outputs(d.withColumn(name, F.col(name) + F.lit(NUDGE)), 6)
+            return outputs(d, 6, nudge=NUDGE)
         return outputs(d, 4)
 
 

@@ -60,13 +60,16 @@ class Tables:
         ).withColumn("x", F.col("x").cast("double"))
 
 
-def outputs(df: DataFrame, digits: int = 6, **overrides: int) -> DataFrame:
-    """Round every double column so that two engines print the same number."""
+def outputs(df: DataFrame, digits: int = 6, nudge: float = 0.0, **overrides: int) -> DataFrame:
+    """Round every double column so that two engines print the same number.
+
+    ``nudge`` is added first where short exact decimals would sit on a rounding tie.
+    """
     cols: list[Column] = []
     for f in df.schema.fields:
         if f.dataType.typeName() in ("double", "float"):
             cols.append(
-                rounded(F.col(f.name).cast("double"), overrides.get(f.name, digits)).alias(f.name)
+                rounded(F.col(f.name).cast("double") + F.lit(nudge), overrides.get(f.name, digits)).alias(f.name)
             )
         else:
             cols.append(F.col(f.name))
