@@ -1,7 +1,7 @@
 """Query modules; importing them fills the registry."""
 from importlib import import_module
 
-MODULES = ("rows", "joins", "aggregates", "windows", "features", "frequency", "spectra", "evaluation", "models", "vectors", "documents", "sources", "explore")
+MODULES = ("rows", "joins", "aggregates", "windows", "features", "frequency", "spectra", "evaluation", "models", "vectors", "documents", "sources", "explore", "streams")
 
 
 def load_all() -> None:

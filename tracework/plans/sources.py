@@ -10,6 +10,14 @@ from tracework.sources import files as fs
 from tracework.sources import logs
 
 
+CHUNK = 1_000_000  # log files hold at most this many ids, as a device that rotates its logs
+
+
+def folder(name, number):
+    """Folder of one log file: a name and the number of the id chunk."""
+    return F.concat(name, F.floor(F.col(number) / CHUNK).cast("string"))
+
+
 def write_lines(rows, t, label):
     """rows(dir, ord, value): one text file per dir with lines in ``ord`` order."""
     path = fresh_path(t.spark, label)
@@ -31,7 +39,7 @@ SELECT (epoch_us(ts) // 1000)::BIGINT AS ts_ms, value AS x, value * 2 AS y, user
 def _(t):
     s = t.series
     line = F.concat_ws(",", F.floor(F.col("us") / 1000).cast("string"), F.lit("ACC"), F.col("v").cast("string"), (F.col("v") * 2).cast("string"), F.col("part").cast("string"))
-    body = s.select(F.when(F.col("channel") == "click", "Worn_a").otherwise("Good_b").alias("dir"), F.col("event_id").alias("ord"), line.alias("value"))
+    body = s.select(folder(F.when(F.col("channel") == "click", "Worn_a").otherwise("Good_b"), "event_id").alias("dir"), F.col("event_id").alias("ord"), line.alias("value"))
     before = [f"preamble {i}" for i in range(8)] + ["Unix TimeStamp (ms),Measurement Type,Data / x_axis,y_axis,z_axis"]
     path = write_lines(framed(body, t, before, ["Sampling rate: 2000 Hz"]), t, "sensor")
     return logs.sensor_log(t.spark, path)
@@ -42,7 +50,7 @@ def _(t):
     ms = F.floor(F.col("us") / 1000).cast("string")
     stamp = F.concat(F.substring(ms, 1, 10), F.lit("."), F.substring(ms, 11, 3), F.lit("77"))
     line = F.concat_ws(",", stamp, *[F.lit("0")] * 7, F.col("v").cast("string"), F.col("part").cast("string"), F.col("event_id").cast("string"))
-    body = t.series.select(F.lit("log").alias("dir"), F.col("event_id").alias("ord"), line.alias("value"))
+    body = t.series.select(folder(F.lit("log"), "event_id").alias("dir"), F.col("event_id").alias("ord"), line.alias("value"))
     path = write_lines(framed(body, t, ["meta"] * 5 + ["Timestamp," + ",".join(logs.REGISTRY_COLUMNS[1:])], []), t, "registry")
     return logs.registry_log(t.spark, path)
 
@@ -85,7 +93,7 @@ def _(t):
 @query("src_field_dump", """
 SELECT (year(l_shipdate) - min(year(l_shipdate)) OVER ())::DOUBLE AS t, l_quantity AS ux, l_discount AS uy, l_tax AS uz FROM lineitem""")
 def _(t):
-    body = t.lineitem.select(F.year("l_shipdate").cast("string").alias("dir"), F.col("l_orderkey").alias("ord"),
+    body = t.lineitem.select(folder(F.concat(F.year("l_shipdate"), F.lit(".")), "l_orderkey").alias("dir"), F.col("l_orderkey").alias("ord"),
                              F.concat(F.lit("("), F.concat_ws(" ", "l_quantity", "l_discount", "l_tax"), F.lit(")")).alias("value"))
     head = body.groupBy("dir").agg(F.count(F.lit(1)).cast("string").alias("value")).select("dir", F.lit(-2).cast("long").alias("ord"), "value")
     rows = framed(body, t, ["internalField nonuniform List<vector>", "", "("], [")", ";"]).where("ord <> -2").unionByName(head)
@@ -112,7 +120,7 @@ def _(t):
 @query("src_shear_dat", "SELECT o_orderkey::DOUBLE AS time, o_totalprice AS tau_x, o_custkey::DOUBLE AS tau_y, -o_totalprice AS tau_z FROM orders")
 def _(t):
     line = F.concat(F.col("o_orderkey"), F.lit("\t("), F.col("o_totalprice"), F.lit(" "), F.col("o_custkey"), F.lit(" "), -F.col("o_totalprice"), F.lit(")"))
-    body = t.orders.select(F.lit("patch").alias("dir"), F.col("o_orderkey").alias("ord"), line.alias("value"))
+    body = t.orders.select(folder(F.lit("patch"), "o_orderkey").alias("dir"), F.col("o_orderkey").alias("ord"), line.alias("value"))
     return logs.shear_table(t.spark, write_lines(framed(body, t, ["# wall shear", "# Time  tau"], []), t, "shear"))
 
 
