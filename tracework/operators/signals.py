@@ -61,6 +61,10 @@ def rfft(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, c
 
 # --- transform of a series too long for one task -------------------------------------------
 
+def _power2(m: Column) -> Column:
+    return F.pow(F.lit(2.0), m).cast("long")
+
+
 def _pass(df: DataFrame, keys: Sequence[str], inverse: bool) -> DataFrame:
     """Power-of-two transform of rows (keys, m = log2 length, j, re, im) in two grouped passes.
 
@@ -69,8 +73,7 @@ def _pass(df: DataFrame, keys: Sequence[str], inverse: bool) -> DataFrame:
     """
     sign = 1.0 if inverse else -1.0
     fft = (lambda v: np.fft.ifft(v) * len(v)) if inverse else np.fft.fft
-    rows = F.shiftleft(F.lit(1).cast("long"), F.floor(F.col("m") / 2).cast("int"))
-    cols = F.shiftleft(F.lit(1).cast("long"), (F.col("m") - F.floor(F.col("m") / 2)).cast("int"))
+    cols = _power2(F.col("m") - F.floor(F.col("m") / 2))
     d = df.withColumn("a", F.floor(F.col("j") / cols).cast("long")).withColumn("b", F.col("j") % cols)
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys)
     out_schema = f"{key_schema}, m int, a long, b long, re double, im double"
@@ -114,7 +117,7 @@ def long_rfft(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: s
     x = materialise(x.select(*keys, "n", m.alias("m"), "j", F.col(value).cast("double").alias("v"),
                              F.cos(angle).alias("c"), F.sin(angle).alias("s")), "chirp")
     a = x.select(*keys, "m", "j", (F.col("v") * F.col("c")).alias("re"), (-F.col("v") * F.col("s")).alias("im"))
-    size = F.shiftleft(F.lit(1).cast("long"), F.col("m"))
+    size = _power2(F.col("m"))
     where = F.explode(F.when(F.col("j") == 0, F.array(F.col("j"))).otherwise(F.array(F.col("j"), size - F.col("j"))))
     b = x.select(*keys, "m", where.alias("j"), F.col("c").alias("re"), F.col("s").alias("im"))
     fa = _pass(a, keys, False)

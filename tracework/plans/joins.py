@@ -49,6 +49,13 @@ def _(t):
     return _asof(t, "forward")
 
 
+@query("join_asof_backward_forward", _BOTH + "SELECT part, event_id, b_id, f_id FROM m")
+def _(t):
+    """Both one-sided matches of every click."""
+    b = _asof(t, "backward").select("part", "event_id", F.col("r_id").alias("b_id"))
+    return b.join(_asof(t, "forward").select("part", "event_id", F.col("r_id").alias("f_id")), ["part", "event_id"])
+
+
 @query("join_asof_unkeyed", f"""
 WITH {_SIDES},
 b AS (SELECT l.*, r.event_id AS b_id, r.us AS b_us FROM l ASOF LEFT JOIN r ON l.us >= r.us),

@@ -41,10 +41,10 @@ def work_dir(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests,
     local mode) a fresh temporary folder is used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="tracework-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
