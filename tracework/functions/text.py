@@ -72,16 +72,24 @@ def article_struct(item: Column) -> Column:
         clean(first_filled(*[F.try_element_at(item, F.lit(k)) for k in keys])).alias(name) for name, keys in JSON_FIELDS.items()])
 
 
-def block_struct(block: Column) -> Column:
-    """The same fields from the lines of one text block; the last line of a kind wins, the rest is content."""
-    lines = F.transform(F.split(F.trim(block), LINE_BREAK), lambda s: F.trim(s))
-    fields = F.filter(lines, lambda s: s.rlike(FIELD_LINE))
+def block_lines(block: Column) -> Column:
+    """Lines of a block as (key, value): the field name in lower case, or an empty key for other lines."""
+
+    def parse(line: Column) -> Column:
+        key = F.lower(F.regexp_extract(line, FIELD_LINE, 1))
+        return F.struct(key.alias("key"), F.when(key == "", line).otherwise(F.regexp_extract(line, FIELD_LINE, 2)).alias("value"))
+
+    return F.transform(F.transform(F.split(block, LINE_BREAK), lambda s: F.trim(s)), parse)
+
+
+def block_struct(lines: Column) -> Column:
+    """The article fields from parsed lines; the last line of a kind wins, the rest is content."""
 
     def last(names: Sequence[str]) -> Column:
-        hits = F.filter(fields, lambda s: F.lower(F.regexp_extract(s, FIELD_LINE, 1)).isin(list(names)))
-        return clean(F.regexp_extract(F.try_element_at(hits, F.lit(-1)), FIELD_LINE, 2))
+        hits = F.filter(lines, lambda s: s["key"].isin(list(names)))
+        return clean(F.try_element_at(hits, F.lit(-1))["value"])
 
-    rest = clean(F.array_join(F.filter(lines, lambda s: ~s.rlike(FIELD_LINE)), " "))
+    rest = clean(F.array_join(F.transform(F.filter(lines, lambda s: s["key"] == ""), lambda s: s["value"]), " "))
     parts = {n: last(k) for n, k in BLOCK_FIELDS.items()}
     parts["content"] = F.concat_ws(" ", F.nullif(parts["content"], F.lit("")), F.nullif(rest, F.lit("")))
     return F.struct(*[c.alias(n) for n, c in parts.items()])

@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, StringType
 from tracework.functions import text as tx
 from tracework.operators.ordered import ordered_columns
 from tracework.operators.windows import first_per_key
+from tracework.session import spread
 
 # Split order of the recursive chunker, header levels and cache life.
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -19,7 +20,7 @@ CACHE_DAYS = 7
 
 def articles_json(df: DataFrame, payload: str) -> DataFrame:
     """One row per article with a title or content."""
-    a = df.withColumn("_item", F.explode(tx.article_items(F.col(payload)))).withColumn("_a", tx.article_struct(F.col("_item")))
+    a = spread(df).withColumn("_item", F.explode(tx.article_items(F.col(payload)))).withColumn("_a", tx.article_struct(F.col("_item")))
     return a.where((F.col("_a.title") != "") | (F.col("_a.content") != "")).select(
         *[c for c in df.columns if c != payload], "_a.*")
 
@@ -27,10 +28,10 @@ def articles_json(df: DataFrame, payload: str) -> DataFrame:
 def articles_blocks(df: DataFrame, payload: str) -> DataFrame:
     """One row per text block with a title or content, numbered per input row."""
     blocks = F.split(F.trim(F.col(payload), F.lit(" \n\t\r")), tx.BLOCK_BREAK)
-    b = df.select(*[c for c in df.columns if c != payload], F.posexplode(blocks).alias("block", "_b"))
-    b = b.where(F.trim("_b", F.lit(" \n\t\r")) != "").withColumn("_a", tx.block_struct(F.trim("_b", F.lit(" \n\t\r"))))
-    return b.where((F.col("_a.title") != "") | (F.col("_a.content") != "")).drop("_b").select(
-        *[c for c in df.columns if c != payload], "block", "_a.*")
+    rest = [c for c in df.columns if c != payload]
+    b = spread(df).select(*rest, F.posexplode(blocks).alias("block", "_b")).withColumn("_b", F.trim("_b", F.lit(" \n\t\r"))).where("_b <> ''")
+    b = b.withColumn("_l", tx.block_lines(F.col("_b"))).withColumn("_a", tx.block_struct(F.col("_l")))
+    return b.where((F.col("_a.title") != "") | (F.col("_a.content") != "")).select(*rest, "block", "_a.*")
 
 
 def dedup_identity(df: DataFrame, url: str, title: str, order: Sequence[str]) -> DataFrame:
@@ -81,7 +82,7 @@ def recursive_chunks(df: DataFrame, text: str, size: int = 200, overlap: int = 2
         return s.map(lambda t: split_recursive(t or "", size, overlap))
 
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, run(F.col(text)).alias("_c")).select(*rest, F.posexplode("_c").alias("chunk", "text"))
+    return spread(df).select(*rest, run(F.col(text)).alias("_c")).select(*rest, F.posexplode("_c").alias("chunk", "text"))
 
 
 def separator_chunks(df: DataFrame, text: str, sep: str = "\n", size: int = 100) -> DataFrame:
@@ -98,7 +99,7 @@ def separator_chunks(df: DataFrame, text: str, sep: str = "\n", size: int = 100)
     end = lambda s: F.when(s["cur"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"])))
     rest = [c for c in df.columns if c != text]
     chunks = F.filter(F.transform(F.aggregate(pieces, start, step, end), lambda c: F.trim(c)), lambda c: c != "")
-    return df.select(*rest, F.posexplode(chunks).alias("chunk", "text"))
+    return spread(df).select(*rest, F.posexplode(chunks).alias("chunk", "text"))
 
 
 def header_sections(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:

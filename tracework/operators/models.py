@@ -52,7 +52,7 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     t = c.agg(F.struct(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
     w = c.withColumn("_t", t).select(label, (F.col("_t.n") / (F.col("_t.k") * F.col("_c"))).alias(out))
-    return df.join(F.broadcast(w), label)  # one row per class
+    return df.join(w, label)
 
 
 # --- anomaly scores --------------------------------------------------------------------------

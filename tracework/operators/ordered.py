@@ -90,7 +90,9 @@ def ordered_columns(
     part_cols = [F.col(k) for k in parts] or [F.lit(1)]
     w = Window.partitionBy(*part_cols).orderBy(*_order(order))
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # "next" runs over the reversed order: a frame open to the end would rescan the rest for every row
+    back = Window.partitionBy(*part_cols).orderBy(*[c.desc() for c in _order(order)])
+    back = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*part_cols)
 
     sel: list[Column] = []
@@ -107,7 +109,7 @@ def ordered_columns(
     for out, c in last.items():
         sel.append(F.last(c, ignorenulls=True).over(upto).alias(out))
     for out, c in nxt.items():
-        sel.append(F.first(c, ignorenulls=True).over(onward).alias(out))
+        sel.append(F.last(c, ignorenulls=True).over(back).alias(out))
     kinds = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
     if single:
         for out, (kind, c) in total.items():
@@ -140,7 +142,7 @@ def ordered_columns(
     key_cols = [F.col(k) for k in keys] or [F.lit(1)]
     kw = Window.partitionBy(*key_cols).orderBy(RANGE)
     before = kw.rowsBetween(Window.unboundedPreceding, -1)
-    after = kw.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*key_cols).orderBy(F.col(RANGE).desc()).rowsBetween(Window.unboundedPreceding, -1)
     kall = Window.partitionBy(*key_cols)
     carry = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")]
     for out in lag:
@@ -152,7 +154,7 @@ def ordered_columns(
     for out in last:
         carry.append(F.last(f"_last_{out}", ignorenulls=True).over(before).alias(f"_last_{out}"))
     for out in nxt:
-        carry.append(F.first(f"_next_{out}", ignorenulls=True).over(after).alias(f"_next_{out}"))
+        carry.append(F.last(f"_next_{out}", ignorenulls=True).over(after).alias(f"_next_{out}"))
     merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
     for out, (kind, _) in total.items():
         carry.append(merge[kind](f"_tot_{out}").over(kall).alias(out))

@@ -1,6 +1,10 @@
 """Lexical and hybrid retrieval with block-local top-k."""
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -8,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracework.operators.vectors import blocks
 from tracework.operators.windows import top_k
+from tracework.session import materialise, spread
 
 # Ranking constants of the public BM25 (Okapi) and reciprocal-rank formulas.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -20,6 +25,18 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
+def term_counts(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counted tokens per text (id, dl, term, tf): row-local, so the tokens are never shuffled."""
+    split = re.compile(r"[ \t\n\x0b\f\r]+")
+    for pdf in frames:
+        for s in range(0, len(pdf), 256):
+            counts = [Counter(w for w in split.split(t or "") if w) for t in pdf["text"].iloc[s:s + 256]]
+            sizes = [len(c) for c in counts]
+            yield pd.DataFrame({
+                "id": np.repeat(pdf["id"].iloc[s:s + 256].to_numpy(), sizes), "dl": np.repeat([sum(c.values()) for c in counts], sizes),
+                "term": [t for c in counts for t in c], "tf": np.fromiter((n for c in counts for n in c.values()), dtype="int64", count=sum(sizes))})
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Top-k documents per query: query_id, doc_id, score, rank.  Inputs: id, text.
 
@@ -27,10 +44,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     postings are weighted.  Scores are summed inside (document block, query block) tasks,
     so pairs of documents and queries never leave a task except the k best.
     """
-    d = docs.select("id", tokens(F.col("text")).alias("t"))
-    size = d.select("id", F.size("t").alias("dl"))
-    stats = size.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))).scalar()
-    postings = d.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    n = docs.count()
+    d = spread(docs.select("id", "text")).mapInPandas(term_counts, "id bigint, dl bigint, term string, tf bigint")
+    postings = materialise(d, "postings")  # tokenised once, read by three branches
+    stats = postings.agg(F.struct(F.lit(n).alias("n"), (F.sum("tf") / F.lit(max(n, 1))).alias("avgdl"))).scalar()
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("_s", stats)
     raw = F.ln(F.col("_s.n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     idf = df.select("term", raw.alias("raw"))
@@ -41,7 +58,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     p = postings.join(idf, "term").withColumn("_s", stats)
     tf = F.col("tf").cast("double")
     weight = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("_s.avgdl")))
-    nd, nq = blocks(docs.count()), blocks(queries.count() * 20)
+    nd, nq = blocks(n, docs.sparkSession.sparkContext.defaultParallelism), blocks(queries.count() * 20)
     left = p.select(F.col("id").alias("doc_id"), F.col("term").alias("d_term"), weight.alias("w"), F.pmod(F.xxhash64("id"), F.lit(nd)).cast("int").alias("db"),
                     F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
     right = q.select("query_id", "term", "qtf", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int").alias("qb"),
@@ -52,11 +69,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         if a.empty or b.empty:
             return none
         ids, row = np.unique(a["doc_id"].to_numpy(), return_inverse=True)
-        a = a.assign(row=row).sort_values(["d_term", "row"], kind="stable")
-        rows, w = a["row"].to_numpy(), a["w"].to_numpy()
-        ends = a.groupby("d_term", sort=True).size().cumsum()
-        lo = dict(zip(ends.index, np.concatenate([[0], ends.to_numpy()[:-1]])))
-        hi = dict(zip(ends.index, ends.to_numpy()))
+        code, names = pd.factorize(a["d_term"])
+        order = np.lexsort((row, code))
+        rows, w = row[order], a["w"].to_numpy()[order]
+        edge = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(names)))])
+        lo, hi = dict(zip(names, edge[:-1])), dict(zip(names, edge[1:]))
         out = []
         for qid, part in b.sort_values(["query_id", "term"]).groupby("query_id"):
             total, hit = np.zeros(len(ids)), np.zeros(len(ids), dtype=bool)

@@ -19,8 +19,9 @@ COSINE_MATCH = 0.8
 MEMORY_PATCHES = 20_000
 
 
-def blocks(rows: int) -> int:
-    return max(1, -(-rows // BLOCK_ROWS))
+def blocks(rows: int, lanes: int = 1) -> int:
+    """Blocks of at most BLOCK_ROWS rows; small inputs still use up to ``lanes`` tasks."""
+    return max(1, -(-rows // BLOCK_ROWS), min(lanes, rows // 500))
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
@@ -29,7 +30,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, metric: str = "euclide
     Inputs have columns id (bigint) and x (array); null vectors are left out.
     """
     queries, items = queries.where("x IS NOT NULL"), items.where("x IS NOT NULL")
-    nq, ni = blocks(queries.count()), blocks(items.count())
+    nq, ni = blocks(queries.count(), queries.sparkSession.sparkContext.defaultParallelism), blocks(items.count())
     side = lambda d, name, own, other, n_own, n_other: d.select(F.col("id").alias(f"{name}_id"), F.col("x").alias(f"{name}_x"),
         F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
     q, it = side(queries, "q", "qb", "ib", nq, ni), side(items, "i", "ib", "qb", ni, nq)

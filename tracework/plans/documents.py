@@ -6,6 +6,7 @@ from tracework.operators import documents as doc
 from tracework.operators import retrieval as ret
 from tracework.operators import vectors as v
 from tracework.plans.registry import outputs, query
+from tracework.session import spread
 
 CLEAN = "trim(regexp_replace(regexp_replace(coalesce({c}, ''), '<[^>]+>', ' ', 'g'), '" + tx.SPACE + "+', ' ', 'g'))"
 
@@ -70,7 +71,7 @@ _POINTS = f"list_slice(list_filter(list_transform(string_split(regexp_replace({c
 @query("txt_main_points", f"SELECT doc_id, len({_POINTS})::INTEGER AS n, array_to_string({_POINTS}, ' | ') AS points FROM documents")
 def _(t):
     p = tx.main_points(F.col("text"))
-    return t.documents.select("doc_id", F.size(p).alias("n"), F.array_join(p, " | ").alias("points"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.size(p).alias("n"), F.array_join(p, " | ").alias("points"))
 
 
 @query("txt_digest", f"""

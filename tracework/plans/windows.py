@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from tracework.operators import aggregates as a
-from tracework.operators import quality as q
+from tracework.operators import peaks as pk
 from tracework.operators import strokes as st
 from tracework.operators import windows as win
 from tracework.operators.ordered import group_mode, ordered_columns
@@ -73,6 +73,14 @@ def _(t):
     return win.margin_slice(raw, b, ["part"], "i", 3).select("part", "event_id", "i")
 
 
+@query("seg_peak_fallback")
+def _(t):
+    """Strokes between prominent peaks for parts whose trigger gives fewer than six segments."""
+    signal = ordered_columns(t.series, ["part"], ORD, index="i").select("part", "i", "v")
+    weak = pk.weak_recordings(signal, segments(t), ["part"], 6)
+    return pk.segments_between(pk.find_peaks(weak, ["part"], "i", "v", distance=5), ["part"], "i", 3)
+
+
 @query("rank_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")
 def _(t):
     return win.top_k(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", 30, "o_orderkey")
