@@ -206,14 +206,14 @@ h AS (SELECT channel, window_id, -sum(c / t * ln(c / t)) AS entropy FROM (SELECT
 """
 
 
-@query("fw_window11", WINS + """SELECT s.channel, s.window_id::BIGINT AS window_id, round(avg(v), 5) AS mean, round(median(v), 5) AS median, round(var_pop(v), 4) AS variance,
- round(CASE WHEN var_pop(v) > 0 THEN avg(power(v-m,4))/power(avg(power(v-m,2)),2) - 3 END, 4) + 0.0 AS kurtosis,
- round(CASE WHEN var_pop(v) > 0 THEN avg(power(v-m,3))/power(avg(power(v-m,2)),1.5) END, 4) + 0.0 AS skewness, round(sqrt(avg(v*v)), 5) AS rms,
- count(*) FILTER (sign(v) <> sign(p)) AS zcr, round(max(entropy), 5) + 0.0 AS entropy FROM s JOIN h ON s.channel = h.channel AND s.window_id = h.window_id GROUP BY 1, 2""")
+@query("fw_window11", WINS + """SELECT s.channel, s.window_id::BIGINT AS window_id, round(avg(v) + 3e-8::DOUBLE, 5) AS mean, round(median(v) + 3e-8::DOUBLE, 5) AS median, round(var_pop(v) + 3e-8::DOUBLE, 4) AS variance,
+ round(CASE WHEN var_pop(v) > 0 THEN avg(power(v-m,4))/power(avg(power(v-m,2)),2) - 3 END + 3e-8::DOUBLE, 4) + 0.0 AS kurtosis,
+ round(CASE WHEN var_pop(v) > 0 THEN avg(power(v-m,3))/power(avg(power(v-m,2)),1.5) END + 3e-8::DOUBLE, 4) + 0.0 AS skewness, round(sqrt(avg(v*v)) + 3e-8::DOUBLE, 5) AS rms,
+ count(*) FILTER (sign(v) <> sign(p)) AS zcr, round(max(entropy) + 3e-8::DOUBLE, 5) + 0.0 AS entropy FROM s JOIN h ON s.channel = h.channel AND s.window_id = h.window_id GROUP BY 1, 2""")
 def _(t):
     w = st.relative_windows(t.series, ["channel"], "us", 43_200_000_000)
     d = st.window_stats(w, ["channel", "window_id"], ORD, "v")
-    return outputs(d, 5, variance=4, kurtosis=4, skewness=4)
+    return outputs(d, 5, nudge=3e-8, variance=4, kurtosis=4, skewness=4)
 
 
 @query("fw_window11_spectral")
@@ -227,5 +227,5 @@ def _(t):
 def _(t):
     """Window features in long form, imputed, ranked by their relevance for the label."""
     w = st.relative_windows(t.series, ["part"], "us", 432_000_000_000)
-    w = w.withColumn("label", (F.col("channel") == "view").cast("int"))
+    w = w.withColumn("label", (F.col("v") > 25).cast("int"))
     return outputs(st.select_relevant(w, ["part", "window_id"], ORD, "v", "label", 4))
