@@ -196,8 +196,10 @@ def group_quantiles(
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("_c")
     )
+    # distinct values never outnumber the rows, whose count is cheap
+    cuts = [] if df.count() <= rows_per_range(df.sparkSession) else range_cuts(counts, value)
     pos = ordered_columns(
-        counts, keys, [value], running={"_hi": "_c"}, total={"_t": ("sum", F.col("_c"))}
+        counts, keys, [value], cuts=cuts, running={"_hi": "_c"}, total={"_t": ("sum", F.col("_c"))}
     )
     lo = F.col("_hi") - F.col("_c")  # positions lo .. hi-1 hold this value
     aggs = []

@@ -218,12 +218,12 @@ def _(t):
     return t.lineitem.unpivot(["l_orderkey", "l_partkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "kind", "value")
 
 
-@query("rsh_drop_duplicate_columns", "SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("rsh_drop_duplicate_columns", "SELECT c_custkey, c_nationkey, n_name, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def _(t):
     from tracework.operators.explore import drop_duplicate_columns
 
-    joined = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        "n_nationkey", "n_name", "n_regionkey", F.col("n_name").alias("n_name"), "r_name")
+    joined = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", "c_nationkey", F.col("n_nationkey").alias("c_nationkey"), "n_name", F.col("n_name").alias("n_name"), "n_regionkey")
     return drop_duplicate_columns(joined)
 
 

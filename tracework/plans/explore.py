@@ -18,7 +18,7 @@ def _(t):
 def _(t):
     cache = ex.DatasetCache(t.spark)
     rows = []
-    for name in ("nation", "region", "nation"):
+    for name in ("customer", "orders", "customer"):
         status = cache.load(name, f"{t.dir}/{name}.parquet")
         rows.append((name, status, cache.get(name).count()))
     cache.clear()

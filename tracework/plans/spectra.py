@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tracework.operators import signals as sig
 from tracework.operators import spectra as sp
+from tracework.operators.ordered import ordered_columns
 from tracework.plans.registry import outputs, query
 
 # --- cell lines: x = line number, y = supplier, z = quantity, time = shipping year --------------
@@ -171,11 +172,11 @@ def _(t):
 
 @query("sig_loglaw_fit")
 def _(t):
-    """Log-law plateau of the mean price profile over position (profile built from all orders)."""
-    y = F.col("o_orderkey") / 15.0 + 1.0
-    prof = t.orders.groupBy(F.floor(y).cast("double").alias("y")).agg(
-        (F.ln(F.floor(F.first(y)).cast("double")) / 0.41 + 5.0 + F.avg("o_totalprice") * 1e-9).alias("u"))
-    return outputs(sp.loglaw_fit(prof.where("y > 1"), "y", "u"))
+    """Profile of the cumulative number of orders over key position, in log-law form."""
+    y = F.floor(F.col("o_orderkey") / 15.0).cast("double")
+    prof = t.orders.groupBy(y.alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    prof = ordered_columns(prof, [], ["y"], running={"total": "n"}).where("y > 0")
+    return outputs(sp.loglaw_fit(prof.select("y", (F.ln("total") / 0.41).alias("u")), "y", "u"))
 
 
 @query("sig_time_pick", """SELECT requested, arg_min(ms, (abs(ms - requested), ms)) AS ms, arg_min(event_id, (abs(ms - requested), ms)) AS event_id
