@@ -8,7 +8,6 @@ from tracework.operators import joins as j
 from tracework.operators import windows as win
 from tracework.operators.features_freq import local_maxima
 from tracework.operators.ordered import group_mode, group_quantiles, ordered_columns
-from tracework.operators.vectors import nearest  # noqa: F401
 
 
 @pytest.fixture

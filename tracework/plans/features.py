@@ -1,5 +1,4 @@
 """Time-domain features on (part, channel) series."""
-from pyspark.sql import functions as F
 
 from tracework.operators import features_time as ft
 from tracework.plans.registry import outputs, query

@@ -1,7 +1,6 @@
 """Windows, segmentation and ranking on the given tables."""
 from pyspark.sql import functions as F
 
-from tracework.operators import aggregates as a
 from tracework.operators import peaks as pk
 from tracework.operators import strokes as st
 from tracework.operators import windows as win
