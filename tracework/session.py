@@ -38,11 +38,13 @@ def rows_per_range(spark: SparkSession) -> int:
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables and stream checkpoints.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests,
-    local mode) a fresh temporary folder is used.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a fresh temporary folder
+    serves local mode alone, since machines of a cluster do not see each other's folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="tracework-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
