@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracework.llm import curriculum, debruijn, langid, order_minhash, suffix_dedup, trie_bpe
+from tracework.llm import curriculum, debruijn, decision_list, langid, order_minhash, subspace_join, suffix_dedup, tool_chat, toxicity, trie_bpe
 from tracework.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,23 @@ def op8(spark, sf_dir):
 @query("op7_order_minhash")
 def op7(spark, sf_dir):
     return order_minhash.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op2_string_kernel_toxicity")
+def op2(spark, sf_dir):
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_decision_list_quality")
+def op3(spark, sf_dir):
+    return decision_list.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_tool_call_linking", tool_chat.SQL)
+def op9(spark, sf_dir):
+    return tool_chat.digest(table(spark, sf_dir, "conversations"))
+
+
+@query("op10_subspace_join", subspace_join.SQL)
+def op10(spark, sf_dir):
+    return subspace_join.digest(table(spark, sf_dir, "embeddings"))
