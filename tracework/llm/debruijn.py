@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracework.llm.repeats import DOC, KEY, Spec, catalogue, digests, keyed, merged, requests, segments, stored, with_texts
-from tracework.llm.text import canonical, slices, words
+from tracework.llm.text import canonical, slices, unpack, words
 
 WINDOW, GRAM = 35, 8
 
@@ -34,8 +34,9 @@ def edges(docs: DataFrame, want: DataFrame, spec: Spec) -> DataFrame:
 
     def cut(batches):
         for whole in batches:
-            for batch in slices(whole, "_text"):
-                data, offsets = canonical(batch.column("_text"))
+            for batch in slices(whole, "_n"):
+                texts = unpack(batch.column("_z"), batch.column("_n"))
+                data, offsets = canonical(texts)
                 begin, finish, _, bounds = words(np.frombuffer(data, np.uint8), offsets)
                 lists = batch.column("want").combine_chunks() if isinstance(batch.column("want"), pa.ChunkedArray) else batch.column("want")
                 row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
@@ -75,7 +76,7 @@ def compact(stretches: DataFrame) -> DataFrame:
     A node branches if the stretch before it is followed, or the stretch after it preceded, by different stretches anywhere.
     """
     inside = Window.partitionBy(*DOC).orderBy("lo", "hi")
-    met = stretches.withColumn("before", F.when(F.lag("hi").over(inside) == F.col("lo"), F.lag("stretch").over(inside)))
+    met = stored(stretches.withColumn("before", F.when(F.lag("hi").over(inside) == F.col("lo"), F.lag("stretch").over(inside))), "stretches")
     links = met.where("before is not null").groupBy("before", "stretch").agg(F.count("*").alias("times"))
     ahead = links.groupBy("before").agg(F.count("*").alias("n_after"))
     behind = links.groupBy("stretch").agg(F.count("*").alias("n_before"))
@@ -105,8 +106,9 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     def cut(batches):
         for whole in batches:
-            for batch in slices(whole, "_text"):
-                data, offsets = canonical(batch.column("_text"))
+            for batch in slices(whole, "_n"):
+                texts = unpack(batch.column("_z"), batch.column("_n"))
+                data, offsets = canonical(texts)
                 size, removed, kept = [], [], []
                 for i, found in enumerate(batch.column("spans").to_pylist()):
                     tokens = data[offsets[i] : offsets[i + 1]].split()
@@ -120,7 +122,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                     removed.append([{"from": a, "to": b} for a, b in gone])
                     kept.append(b" ".join(parts))
                 span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-                more = [batch.column("_text"), batch.column("_carry")] if carry else []
+                more = [texts.cast(pa.string()), batch.column("_carry")] if carry else []
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id"), pa.array(size, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary()).cast(pa.string()), *more],
                     names=["id", "n_words", "removed", "kept", *(["text", "_carry"] if carry else [])])

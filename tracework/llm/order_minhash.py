@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tracework.llm.graph import components
 from tracework.llm.repeats import keyed, stored, with_texts
-from tracework.llm.text import Prefix, canonical, mix, seeded, slices, words
+from tracework.llm.text import Prefix, canonical, mix, seeded, slices, unpack, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, TAKEN = 10, 2
@@ -180,8 +180,8 @@ def _word_ids(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The word sequences (32-bit word hashes) of the given classes, read from their representatives."""
     def cut(batches):
         for whole in batches:
-            for batch in slices(whole, "_text", 1 << 20):
-                data, offsets = canonical(batch.column("_text"))
+            for batch in slices(whole, "_n", 1 << 20):
+                data, offsets = canonical(unpack(batch.column("_z"), batch.column("_n")))
                 _, _, hashes, bounds = words(np.frombuffer(data, np.uint8), offsets)
                 short = (hashes >> np.uint64(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(

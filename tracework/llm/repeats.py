@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracework.llm.text import BYTES, Prefix, buffer_of, canonical, pieces, slices, words
+from tracework.llm.text import BYTES, Prefix, buffer_of, canonical, pack, pieces, slices, words
 from tracework.session import materialise
 
 KEY = ["anchor", "c1", "c2"]
@@ -124,8 +124,22 @@ def requests(cat: DataFrame) -> DataFrame:
     return cat.where("kinds > 1 and open > 0").groupBy(*DOC).agg(F.collect_list(F.struct("start", "n", *KEY, "n_occ", "units")).alias("want"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``keyed`` rows with the text packed (``_z``) and its size (``_n``), for shuffles."""
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "_text"):
+                z, n = pack(batch.column("_text"))
+                others = [c for c in batch.schema.names if c != "_text"]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], z, n], names=[*others, "_z", "_n"])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "_text")
+    return docs.mapInArrow(run, f"{kept}, _z binary, _n long")
+
+
 def with_texts(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
-    """Join texts with one row per text on the null-safe row key."""
+    """Join packed texts with one row per text on the null-safe row key."""
+    docs = packed(docs)
     right = side.select(F.col("_id").alias("_rid"), F.col("_h").alias("_rh"), *[c for c in side.columns if c not in DOC])
     return docs.join(right, docs["_id"].eqNullSafe(right["_rid"]) & (docs["_h"] == right["_rh"]), how).drop("_rid", "_rh")
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracework.llm.repeats import DOC, KEY, Spec, catalogue, intervals, keyed, merged, requests, segments, settled, spans_of, stored, with_texts
-from tracework.llm.text import BYTES, Prefix, buffer_of, slices
+from tracework.llm.text import BYTES, Prefix, buffer_of, slices, unpack
 
 WINDOW, GRAM = 200, 32
 BUCKET_BYTES = 4 << 20
@@ -35,8 +35,8 @@ def _contents(docs: DataFrame, want: DataFrame, spec: Spec) -> DataFrame:
 
     def cut(batches):
         for whole in batches:
-            for batch in slices(whole, "_text"):
-                raw, offsets = buffer_of(batch.column("_text"))
+            for batch in slices(whole, "_n"):
+                raw, offsets = buffer_of(unpack(batch.column("_z"), batch.column("_n")))
                 data = raw.tobytes()
                 rows, cells = [], []
                 for i, wanted in enumerate(batch.column("want").to_pylist()):
@@ -196,8 +196,8 @@ def suffix_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     def cut(batches):
         for whole in batches:
-            for batch in slices(whole, "_text"):
-                raw, offsets = buffer_of(batch.column("_text"))
+            for batch in slices(whole, "_n"):
+                raw, offsets = buffer_of(unpack(batch.column("_z"), batch.column("_n")))
                 data, size, removed, kept = raw.tobytes(), [], [], []
                 for i, spans in enumerate(batch.column("spans").to_pylist()):
                     text = data[offsets[i] : offsets[i + 1]]
