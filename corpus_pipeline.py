@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracework.llm import curriculum, debruijn, langid, order_minhash, trie_bpe
 from tracework.llm.queries import table, vocabulary_path
 from tracework.llm.repeats import stored
+from tracework.llm.text import lean
 from tracework.session import prepare
 
 #: Posterior below which a language is not believed.
@@ -22,13 +23,15 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without a letter, or of no clear language, go."""
+    lean(spark)
     model = langid.train(docs.where(~langid.held_out()))
-    found = langid.identify(docs, model, carry=tuple(docs.columns))
+    found = langid.identify(docs, model, carry=tuple(c for c in docs.columns if c != "text"), keep_text=True)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
+    lean(spark)
     kept = order_minhash.near_duplicates(docs).where("kept").select(F.col("id").alias("_kept"), F.col("_h").alias("_kept_h"))
     rows = docs.select("*", F.xxhash64(F.col("text").cast("string")).alias("_h"))
     rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_kept"]) & (rows["_h"] == kept["_kept_h"]), "left_semi")
@@ -37,6 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without word passages that occur elsewhere; untouched texts stay byte for byte."""
+    lean(spark)
     others = tuple(c for c in docs.columns if c != "text")
     out = debruijn.remove_repeats(docs, carry=others).withColumn("text", F.when(F.size("removed") > 0, F.col("kept")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
@@ -51,6 +55,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and hashes of the token ids and of the decoded text."""
+    lean(spark)
     return trie_bpe.digest(docs, vocabulary_path(), carry=("doc_id", "lang", "source"))
 
 

@@ -83,8 +83,8 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
     return langs, matrix
 
 
-def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``lang_pred`` and ``score`` (posterior) of each text, with the ``carry`` columns."""
+def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", carry: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+    """``lang_pred`` and ``score`` (posterior) of each text, with the ``carry`` columns and, if asked for, the ``text``."""
     langs, matrix = model
     shared = df.sparkSession.sparkContext.broadcast(matrix)
     rows = df.select(F.col(text_col).cast("string").alias("_text"), F.struct(*[F.col(c) for c in carry]).alias("_carry") if carry else F.lit(0).alias("_carry"))
@@ -112,10 +112,11 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
                     odds = np.exp(total - total.max(1, keepdims=True))
                     for i, j, s in zip(known, best, (1 / odds.sum(1)), strict=True):
                         names[i], scores[i] = langs[j], s
-                yield pa.RecordBatch.from_arrays([batch.column("_carry"), pa.array(names), pa.array(scores)], names=["_carry", "lang_pred", "score"])
+                kept = [batch.column("_text")] if keep_text else []
+                yield pa.RecordBatch.from_arrays([batch.column("_carry"), pa.array(names), pa.array(scores), *kept], names=["_carry", "lang_pred", "score", *(["text"] if keep_text else [])])
 
-    out = rows.mapInArrow(score, f"_carry {rows.schema['_carry'].dataType.simpleString()}, lang_pred string, score double")
-    return out.select(*(["_carry.*"] if carry else []), "lang_pred", "score")
+    out = rows.mapInArrow(score, f"_carry {rows.schema['_carry'].dataType.simpleString()}, lang_pred string, score double" + ", text string" * keep_text)
+    return out.select(*(["_carry.*"] if carry else []), "lang_pred", "score", *(["text"] if keep_text else []))
 
 
 def held_out(id_col: str = "doc_id"):

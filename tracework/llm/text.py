@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark.sql import SparkSession
 
 #: Words are runs of anything but these bytes: space, tab, newline, vertical tab, form feed, carriage return.
 SPACES = np.zeros(256, bool)
@@ -16,6 +17,13 @@ PIECE = 1 << 20
 ONE = np.uint64(1)
 
 
+def lean(spark: SparkSession) -> SparkSession:
+    """Arrow batches small enough for whole texts: Python workers hold a few batches at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 * PIECE))
+    return spark
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (the public splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

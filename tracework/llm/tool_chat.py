@@ -82,16 +82,21 @@ def ordered(calls: DataFrame) -> DataFrame:
     if behind.isEmpty():
         return keys
     sizes = calls.groupBy("conv_id").agg(F.count("*").alias("calls"))
-    rounds = 0
     while not behind.isEmpty():
-        rounds += 1
         new = behind.select("conv_id", "call_id", F.col("before.at").alias("at2"), (F.col("before.bump") + 1).alias("bump2"))
         keys = keys.join(new, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("at2", "at").alias("at"), F.coalesce("bump2", "bump").alias("bump"))
         # a chain of moves longer than the conversation has calls runs in a circle
         keys = keys.join(sizes, "conv_id").where(F.col("bump") <= F.col("calls")).drop("calls")
         keys = stored(keys, "order")
         behind = stored(moved(keys), "waiting")
-    return keys
+    # what waits for a circular call has no order either
+    every = calls.select("conv_id", F.col("call_id").alias("needs"))
+    while True:
+        lost = every.join(keys.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti")
+        stuck = stored(waits.join(lost, ["conv_id", "needs"]).select("conv_id", "call_id").distinct().join(keys, ["conv_id", "call_id"], "left_semi"), "stuck")
+        if stuck.isEmpty():
+            return keys
+        keys = stored(keys.join(stuck, ["conv_id", "call_id"], "left_anti"), "order")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

@@ -32,7 +32,7 @@ CHANCE = 0.3
 LANDMARKS = 24
 TRAIN_ROWS = 12_000
 LONGEST, STRIDE = 24, 12
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 THRESHOLD = 0.3
 SPACED = re.compile(r"(?<!\S)\w(?:\s+\w(?!\S)){3,}")
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tracework.llm.text import slices
 
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_PAIRS = 120_000, 200_000
 
 # The split pattern whose short form below is used for texts of common Latin letters alone
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -88,6 +88,8 @@ class Vocabulary:
         """
         known = self.pairs.get((left, right))
         if known is None:
+            if len(self.pairs) >= CACHE_PAIRS:
+                self.pairs.clear()
             known = self.pairs[left, right] = self._fits(left, right)
         return known
 
