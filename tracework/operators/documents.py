@@ -1,6 +1,7 @@
 """Documents: parsing, chunking, deduplication, fingerprints and conversation history."""
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -87,7 +88,7 @@ def recursive_chunks(df: DataFrame, text: str, size: int = 200, overlap: int = 2
 
 def separator_chunks(df: DataFrame, text: str, sep: str = "\n", size: int = 100) -> DataFrame:
     """Pieces between separators merged greedily up to ``size`` characters, no overlap."""
-    pieces = F.filter(F.split(F.col(text), sep), lambda p: p != "")
+    pieces = F.filter(F.split(F.col(text), re.escape(sep)), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"))
 
     def step(s: Column, p: Column) -> Column:
@@ -106,8 +107,8 @@ def header_sections(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     """Sections under '#' and '##' headers with the headers as columns; one document is one row."""
     keys = list(keys)
     lines = df.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("line", "_t")).withColumn("_t", F.trim("_t"))
-    h1 = F.when(F.col("_t").rlike("^# "), F.trim(F.substring("_t", 2, 1 << 20)))
-    h2 = F.when(F.col("_t").rlike("^## "), F.trim(F.substring("_t", 3, 1 << 20)))
+    h1 = F.when(F.col("_t").rlike("^# "), F.trim(F.regexp_replace("_t", "^#", "")))
+    h2 = F.when(F.col("_t").rlike("^## "), F.trim(F.regexp_replace("_t", "^##", "")))
     # a first-level header also ends the second-level one: '' stands for "none"
     d = lines.withColumn("_h1", h1).withColumn("_h2", F.when(h1.isNotNull(), "").otherwise(h2))
     d = d.withColumn("_new", F.when(h1.isNotNull() | h2.isNotNull(), 1).otherwise(0)).withColumn("_l", F.col("line").cast("long"))

@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -376,15 +376,20 @@ def svm(df: DataFrame, kernel: str = "linear", reg: float = 0.01, iters: int = 5
 
 
 def smote(df: DataFrame, id_col: str, x: str, label: str, minority: int, copies: int, k: int = 5, seed: int = 42) -> DataFrame:
-    """Synthetic minority rows on the way from a row to one of its k nearest minority rows."""
+    """Synthetic minority rows, each a uniform share of the way from a row to one of its k nearest minority rows.
+
+    Copies go through the neighbours in a seeded order, again and again if there are more copies than neighbours.
+    """
     from tracework.operators.vectors import nearest
 
     part = df.where(F.col(label) == minority).select(F.col(id_col).alias("id"), F.col(x).alias("x"))
     near = nearest(part, part, k + 1).where(F.col("query_id") != F.col("item_id"))
-    pairs = near.withColumn("_u", F.pmod(F.xxhash64("query_id", "item_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20))
-    from tracework.operators.windows import top_k
-
-    pick = top_k(pairs, "_u", copies, "item_id", ["query_id"])
+    draw = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    # at most k neighbours a row: the window is small
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(draw("query_id", "item_id", F.lit("neighbour")), "item_id"))
+    turns = near.withColumn("_r", order).withColumn("_n", F.count("*").over(Window.partitionBy("query_id")))
+    pick = turns.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(copies)))).where((F.col("rank") - 1) % F.col("_n") + 1 == F.col("_r"))
+    pick = pick.withColumn("_u", draw("query_id", "item_id", "rank", F.lit("share")))
     a = part.select(F.col("id").alias("query_id"), F.col("x").alias("_a"))
     b = part.select(F.col("id").alias("item_id"), F.col("x").alias("_b"))
     j = pick.join(a, "query_id").join(b, "item_id")

@@ -143,7 +143,7 @@ def _(t):
 SELECT 'd/' || doc_id || '.' || CASE lang WHEN 'en' THEN 'md' WHEN 'fr' THEN 'PDF' ELSE lang END AS path, n_chars AS length, CASE WHEN lang IN ('en', 'fr') THEN 'accepted' ELSE 'skipped' END AS status FROM documents""")
 def _(t):
     kind = F.when(F.col("lang") == "en", "md").when(F.col("lang") == "fr", "PDF").otherwise(F.col("lang"))
-    return fs.document_files(t.documents.select(F.concat(F.lit("d/"), F.col("doc_id"), F.lit("."), kind).alias("path"), F.col("n_chars").alias("length")), limit=1 << 50)
+    return fs.document_files(t.documents.select(F.concat(F.lit("d/"), F.col("doc_id"), F.lit("."), kind).alias("path"), F.col("n_chars").alias("length")))
 
 
 @query("snk_csv_parquet", "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY 1")

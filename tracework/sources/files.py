@@ -38,12 +38,13 @@ def image_table(files: DataFrame, modality: Column, state: Column, label: Column
     return d.withColumn("sample_id", F.format_string("%s_%s_%06d", "modality", "tool_state", "_i")).drop("_p", "_i")
 
 
-def document_files(files: DataFrame, limit: int = MAX_TOTAL_BYTES) -> DataFrame:
-    """Supported documents; more bytes than the limit in total is an error, other kinds are marked skipped."""
+def document_files(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Supported documents; other kinds are marked skipped. More bytes in total than a given limit (an upload form has MAX_TOTAL_BYTES) is an error."""
     ok = F.lower("path").rlike("(" + "|".join(k.replace(".", r"\.") for k in DOCUMENT_KINDS) + ")$")
-    total = files.agg(F.sum("length")).scalar()
-    fits = F.when(total <= limit, True).otherwise(F.raise_error(F.lit("total size exceeds the limit")).cast("boolean"))
-    return files.where(fits).select("path", "length", F.when(ok, "accepted").otherwise("skipped").alias("status"))
+    if limit is not None:
+        total = files.agg(F.sum("length")).scalar()
+        files = files.where(F.when(total <= limit, True).otherwise(F.raise_error(F.lit("total size exceeds the limit")).cast("boolean")))
+    return files.select("path", "length", F.when(ok, "accepted").otherwise("skipped").alias("status"))
 
 
 # --- pixels: one image per call ---------------------------------------------------------------
@@ -137,13 +138,14 @@ def color_stats(df: DataFrame, content: str) -> DataFrame:
 
 
 def crop_boxes(df: DataFrame, id_col: str, width: str, height: str, seed: int = 42) -> DataFrame:
-    """Crop windows per image: full, centred shares 0.65 and 0.85, and a seeded share of 0.75."""
+    """Crop windows per image: full, centred squares of 0.65 and 0.85 of the shorter side, and a seeded square of 0.75."""
     u = lambda salt: F.pmod(F.xxhash64(id_col, F.lit(salt), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     half = F.lit(0.5)
     kinds = [("full", 1.0, half, half), ("center", 0.65, half, half), ("large_center", 0.85, half, half), ("random", 0.75, u("x"), u("y"))]
     boxes = []
     for name, share, ux, uy in kinds:
-        w, h = F.floor(F.col(width) * share).cast("int"), F.floor(F.col(height) * share).cast("int")
+        side = F.floor(F.least(width, height) * share).cast("int")
+        w, h = (F.col(width).cast("int"), F.col(height).cast("int")) if name == "full" else (side, side)
         boxes.append(F.struct(F.lit(name).alias("crop"), F.floor((F.col(width) - w) * ux).cast("int").alias("left"),
                               F.floor((F.col(height) - h) * uy).cast("int").alias("top"), w.alias("w"), h.alias("h")))
     return df.select(*[c for c in df.columns], F.explode(F.array(*boxes)).alias("_b")).select(*df.columns, "_b.*")
