@@ -57,20 +57,33 @@ def words_of(text: str | None) -> set[str]:
 def codes(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Words by length class, as (positions, character matrix); words longer than ``LONGEST`` give several rows."""
     by: dict[int, tuple[list[int], list[str]]] = {}
+    out, at, parts = [], [], []
     for i, w in enumerate(words):
-        pieces = [w] if len(w) <= LONGEST else [w[a : a + LONGEST] for a in range(0, len(w) - STRIDE, STRIDE)]
-        for p in pieces:
-            width = max(4, (len(p) + 3) // 4 * 4)
+        if len(w) <= LONGEST:
+            width = max(4, (len(w) + 3) // 4 * 4)
             rows = by.setdefault(width, ([], []))
             rows[0].append(i)
-            rows[1].append(p.ljust(width, "\0"))
-    return [(np.array(at), np.frombuffer("".join(t).encode("utf-32-le"), np.uint32).reshape(len(t), width)) for width, (at, t) in by.items()]
+            rows[1].append(w.ljust(width, "\0"))
+            continue
+        n = -(-(len(w) - STRIDE) // STRIDE)
+        whole = np.zeros((n - 1) * STRIDE + LONGEST, np.uint32)
+        whole[: len(w)] = np.frombuffer(w.encode("utf-32-le"), np.uint32)
+        parts.append(np.lib.stride_tricks.sliding_window_view(whole, LONGEST)[::STRIDE])
+        at.append(np.full(n, i))
+    for width, (where, texts) in by.items():
+        out.append((np.array(where), np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(len(texts), width)))
+    if parts:
+        out.append((np.concatenate(at), np.concatenate(parts)))
+    return out
+
 
+def kernel(chars: np.ndarray, landmark: str | np.ndarray, length: int = LENGTH, decay: float = DECAY) -> np.ndarray:
+    """Gapped-subsequence kernel of each row of ``chars`` with one landmark, by the usual recursion over prefixes.
 
-def kernel(chars: np.ndarray, landmark: str, length: int = LENGTH, decay: float = DECAY) -> np.ndarray:
-    """Gapped-subsequence kernel of each row of ``chars`` with one landmark, by the usual recursion over prefixes."""
+    A matrix of as many rows gives each row its own landmark.
+    """
     n, width = chars.shape
-    mark = np.frombuffer(landmark.encode("utf-32-le"), np.uint32)
+    mark = np.frombuffer(landmark.encode("utf-32-le"), np.uint32) if isinstance(landmark, str) else landmark.T
     d, d2 = np.float32(decay), np.float32(decay * decay)
     equal = [[chars[:, j] == c for c in mark] for j in range(width)]
     zero = np.zeros(n, np.float32)
@@ -95,46 +108,90 @@ def kernel(chars: np.ndarray, landmark: str, length: int = LENGTH, decay: float
     return zero
 
 
+def common(symbols: np.ndarray, landmark: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each row of ``symbols`` with one landmark (at most 63 symbols), bit-parallel."""
+    m = len(landmark)
+    kind = np.uint8 if m < 8 else np.uint64
+    masks = np.zeros(int(max(symbols.max(initial=0), landmark.max(initial=0))) + 1, kind)
+    for k, c in enumerate(landmark.tolist()):
+        masks[c] |= kind(1 << k)
+    found = masks[symbols]
+    full = np.full(len(symbols), (1 << m) - 1, kind)
+    state = full.copy()
+    for j in range(symbols.shape[1]):
+        hit = state & found[:, j]
+        state = ((state + hit) | (state - hit)) & full
+    return m - np.bitwise_count(state)
+
+
 def likeness(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Kernel values of words with landmarks, over each landmark's value with itself."""
     out = np.zeros((len(words), len(landmarks)), np.float32)
+    marks = [np.frombuffer(m.encode("utf-32-le"), np.uint32) for m in landmarks]
+    used = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.uint32)
+    own = np.array([kernel(m.reshape(1, -1), text)[0] for m, text in zip(marks, landmarks, strict=True)], np.float32)
     for at, chars in codes(words):
-        for k, mark in enumerate(landmarks):
-            own = kernel(np.frombuffer(mark.encode("utf-32-le"), np.uint32).reshape(1, -1), mark)[0]
-            # rows that share fewer than LENGTH characters with the landmark have kernel value 0
-            shared = sum((chars == np.uint32(ord(c))).any(1).astype(np.int8) for c in set(mark))
-            rows = np.flatnonzero(shared >= min(LENGTH, len(set(mark))) - (len(mark) - len(set(mark))))
+        # characters of any landmark by number, all others 0
+        place = np.searchsorted(used, chars)
+        symbols = np.where(used[np.minimum(place, len(used) - 1)] == chars, place + 1, 0)
+        # rows without a common subsequence of LENGTH characters have kernel value 0; the others go together, by landmark length
+        pairs: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for k, mark in enumerate(marks):
+            rows = np.flatnonzero(common(symbols, np.searchsorted(used, mark) + 1) >= LENGTH)
             if len(rows):
-                np.maximum.at(out[:, k], at[rows], kernel(chars[rows], mark) / own)
+                pairs.setdefault(len(mark), []).append((k, rows))
+        for found in pairs.values():
+            rows = np.concatenate([r for _, r in found])
+            which = np.repeat([k for k, _ in found], [len(r) for _, r in found])
+            values = kernel(chars[rows], np.array([marks[k] for k, _ in found])[np.repeat(np.arange(len(found)), [len(r) for _, r in found])])
+            np.maximum.at(out, (at[rows], which), values / own[which])
     return out
 
 
 class Describer:
-    """Best likeness of each text's words to each landmark; words met before are looked up."""
+    """Best likeness of each text's words to each landmark; words met before are looked up, and only likely words have a row."""
 
     def __init__(self, landmarks: list[str]):
-        self.landmarks, self.place, self.rows = landmarks, {}, np.zeros((1, len(landmarks)), np.float32)
+        self.landmarks = landmarks
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((1, len(self.landmarks)), np.float32)
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         bags = [words_of(t) for t in texts]
         if len(self.place) > CACHE_WORDS:
-            self.place, self.rows = {}, np.zeros((1, len(self.landmarks)), np.float32)
-        new = sorted(set().union(*bags) - self.place.keys())
+            self.forget()
+        new = set().union(*bags) - self.place.keys()
         forms = {w: marked(w) for w in new}
         distinct = sorted({f for f in forms.values() if f})
         values = likeness(distinct, self.landmarks)
-        at = {f: len(self.rows) + i for i, f in enumerate(distinct)}
-        self.rows = np.concatenate([self.rows, values])
+        likely = np.flatnonzero((values > CHANCE).any(1))
+        at = {distinct[i]: len(self.rows) + n for n, i in enumerate(likely.tolist())}
+        self.rows = np.concatenate([self.rows, values[likely]])
         for w, f in forms.items():
             self.place[w] = at.get(f, 0)
         out = np.zeros((len(texts), len(self.landmarks)))
         for i, bag in enumerate(bags):
-            if bag:
-                out[i] = self.rows[[self.place[w] for w in bag]].max(0)
+            hits = set(map(self.place.__getitem__, bag))
+            hits.discard(0)
+            if hits:
+                out[i] = self.rows[sorted(hits)].max(0)
         # values below CHANCE are what any long text reaches; above 1 a word holds the landmark whole
         return (np.clip(out, CHANCE, 1) - CHANCE) / (1 - CHANCE)
 
 
+_LAST: list[Describer] = []
+
+
+def describer_of(landmarks: list[str]) -> Describer:
+    """The describer of this worker process: later tasks of the same model find the words of earlier ones."""
+    if not _LAST or _LAST[0].landmarks != landmarks:
+        _LAST[:] = [Describer(landmarks)]
+    return _LAST[0]
+
+
 def coordinates(described: np.ndarray, root: np.ndarray) -> np.ndarray:
     """Nyström coordinates and, so that one insult in a text weighs as much as several, the best likeness to any landmark."""
     return np.column_stack([described @ root, 4 * described.max(1, initial=0)])
@@ -245,7 +302,7 @@ def train(df: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
 
     def describe(batches):
-        describer = Describer(landmarks)
+        describer = describer_of(landmarks)
         for whole in batches:
             for batch in slices(whole, "text", PIECE):
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(list(describer(batch.column("text").to_pylist())), pa.list_(pa.float64()))], names=["toxic", "x"])
@@ -262,7 +319,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", carry: tuple[str,
     rows = df.select(F.col(text_col).cast("string").alias("_text"), F.struct(*[F.col(c) for c in carry]).alias("_carry"))
 
     def run(batches):
-        describer = Describer(model.landmarks)
+        describer = describer_of(model.landmarks)
         for whole in batches:
             for batch in slices(whole, "_text", PIECE):
                 texts = batch.column("_text").to_pylist()
