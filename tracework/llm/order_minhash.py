@@ -194,7 +194,8 @@ def _pivots(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs of each bucket with its pivot, and the bucket rows with their pivot."""
     draw = F.xxhash64("k", "key")
     first = members.groupBy("key").agg(F.min(F.struct(draw.alias("r"), "k"))["k"].alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
-    rows = members.join(first, "key").where("k <> pivot")
+    # written first: only a join of two plain shuffles has its crowded keys split by adaptive execution
+    rows = members.join(stored(first, "pivots"), "key").where("k <> pivot")
     return rows.select(F.least("k", "pivot").alias("a"), F.greatest("k", "pivot").alias("b")).distinct(), rows
 
 
@@ -219,8 +220,9 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     more = stored(_verified(more.join(checked, ["a", "b"], "left_anti"), texts), "checked")
     groups = components(checked.union(more).where("ok").select("a", "b"))
     named = reps.select("k", "first").join(groups.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    best = named.groupBy("root").agg(F.min("first").alias("best"))
-    known = named.join(best, "root").select("k", "first", "best")
+    named = stored(named, "named")
+    best = stored(named.groupBy("root").agg(F.min("first").alias("best")), "best")
+    known = stored(named.join(best, "root").select("k", "first", "best"), "known")
     whole = rows.select("_id", "_h", "k").distinct().join(known, "k")
     return whole.select(F.col("_id").alias("id"), "_h", F.col("first._id").alias("class_id"), F.col("best._id").alias("group_id"), (place == F.col("best")).alias("kept"))
 

@@ -24,13 +24,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tracework.llm.graph import components
 from tracework.llm.repeats import stored
 
 COSINE = 0.98
-BLOCKS = 8
-CHUNK = 1500
+BLOCKS = 4
+CHUNK = 4096
 TILE = 1 << 15
 SLACK = 1e-9
 CELL = ["label", "width", "block", "cx", "cy"]
@@ -58,42 +59,46 @@ def rotated(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _usable(vectors: list, labels: list) -> list[np.ndarray | None]:
-    out: list[np.ndarray | None] = []
-    for v, label in zip(vectors, labels, strict=True):
-        if v is None or label is None or not len(v) or any(c is None for c in v):
-            out.append(None)
-            continue
-        x = np.asarray(v, np.float64)
-        norm = np.sqrt((x * x).sum()) if np.isfinite(x).all() else 0.0
-        out.append(x if norm > 0 and np.isfinite(norm) else None)
-    return out
-
-
 def _named(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """Rows with a digest ``k`` of label and components (null if unusable) and the components as bytes."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.col(label_col).cast("string").alias("label"))
+    """Rows with a digest ``k`` of label and components (null if unusable) and the components as bytes, single floats as such."""
+    single = isinstance(df.schema[vector_col].dataType.elementType, FloatType)
+    number = np.float32 if single else np.float64
+    v = F.col(vector_col).cast("array<float>" if single else "array<double>")
+    rows = df.select(F.col(id_col).alias("id"), v.alias("v"), F.col(label_col).cast("string").alias("label"))
 
     def run(batches):
         for batch in batches:
-            labels = batch.column("label").to_pylist()
-            found = _usable(batch.column("v").to_pylist(), labels)
-            data = [None if x is None else x.tobytes() for x in found]
-            k = [None if d is None else blake2b(d, digest_size=16, key=blake2b(y.encode(), digest_size=16).digest()).digest() for d, y in zip(data, labels, strict=True)]
-            width = [None if x is None else len(x) for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(width, pa.int32()), pa.array(k, pa.binary()), pa.array(data, pa.binary())],
+            vectors = batch.column("v")
+            values = vectors.flatten().to_numpy(zero_copy_only=False).astype(number, copy=False)  # null components become NaN
+            width = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            end = np.cumsum(width)
+            names: list[bytes | None] = []
+            data: list[bytes | None] = []
+            for a, b, label in zip((end - width).tolist(), end.tolist(), batch.column("label").to_pylist(), strict=True):
+                wide = values[a:b].astype(np.float64)
+                square = float((wide * wide).sum())
+                usable = label is not None and 0 < square < np.inf
+                data.append(values[a:b].tobytes() if usable else None)
+                names.append(blake2b(data[-1], digest_size=16, key=blake2b(label.encode(), digest_size=16).digest()).digest() if usable else None)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(width, pa.int32()), pa.array(names, pa.binary()), pa.array(data, pa.binary())],
                                              names=["id", "label", "width", "k", "x"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, label string, width int, k binary, x binary")
 
 
+def _numbers(x: pd.Series, width: int) -> np.ndarray:
+    """Vectors of one width as a matrix of double precision."""
+    data = b"".join(x)
+    return np.frombuffer(data, np.float32 if len(data) == 4 * width * len(x) else np.float64).reshape(len(x), width).astype(np.float64)
+
+
 def _cells(vectors: DataFrame, budget: float) -> DataFrame:
     """Home cell and visited cells of each vector in each block."""
     def run(batches):
         for batch in batches:
             frame = batch.to_pandas()
             for width, part in frame.groupby("width"):
-                y = rotated(np.frombuffer(b"".join(part["x"]), np.float64).reshape(len(part), width))
+                y = rotated(_numbers(part["x"], int(width)))
                 blocks = bounds(int(width))
                 radius = np.sqrt(budget / len(blocks)) * (1 + 1e-6)
                 side = 2 * radius
@@ -120,7 +125,8 @@ def _cells(vectors: DataFrame, budget: float) -> DataFrame:
 def _dealt(cells: DataFrame) -> DataFrame:
     """Chunk pairs of crowded cells: every row meets every chunk of its cell."""
     parts = cells.groupBy(*CELL).agg(F.count("*").alias("n"), F.sum((~F.col("visits")).cast("long")).alias("homes")).where("n > 1 and homes > 0")
-    parts = parts.select(*CELL, F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    # written first: a join whose two sides are plain shuffles lets adaptive execution split a crowded cell
+    parts = stored(parts.select(*CELL, F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "cells")
     rows = cells.join(parts, CELL).withColumn("chunk", F.pmod(F.xxhash64("k", "visits"), F.col("chunks").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return rows.withColumn("one", F.least("chunk", "other")).withColumn("two", F.greatest("chunk", "other"))
@@ -144,21 +150,25 @@ def _compare(key: tuple, frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
     """Links inside one cell (or one pair of its chunks): per vector its links, and one edge to its group's first vector."""
     width, block, one, two = int(key[1]), int(key[2]), int(key[5]), int(key[6])
     frame = frame.sort_values(["chunk", "visits", "k"], ignore_index=True)
-    x = np.frombuffer(b"".join(frame["x"]), np.float64).reshape(len(frame), width)
-    y, norm = rotated(x), np.sqrt((x * x).sum(1))
-    visits, chunk, copies = (frame[c].to_numpy() for c in ("visits", "chunk", "copies"))
     blocks = bounds(width)
     share = (2 - 2 * cosine) / len(blocks) + SLACK
     lo, hi = blocks[block]
+    x = _numbers(frame["x"], width)
+    y = rotated(x)
+    line = np.argsort(y[:, hi - 1], kind="stable")  # rows along the block's last coordinate: only neighbours on it can be close
+    frame, x, y = frame.iloc[line], x[line], y[line]
+    place, norm, reach = y[:, hi - 1], np.sqrt((x * x).sum(1)), np.sqrt(share) * (1 + 1e-6)
+    visits, chunk, copies = (frame[c].to_numpy() for c in ("visits", "chunk", "copies"))
     part = y[:, lo:hi]
     square = (part * part).sum(1)
     links, ends = np.zeros(len(x), np.int64), []
-    step = max(1, (1 << 21) // len(x))
+    step = 256
     for at in range(0, len(x), step):
         to = min(at + step, len(x))
-        near = square[at:to, None] + square[None, :] - 2 * part[at:to] @ part.T <= share + 1e-9
+        end = int(np.searchsorted(place, place[to - 1] + reach, "right"))
+        near = square[at:to, None] + square[None, at:end] - 2 * part[at:to] @ part[at:end].T <= share + 1e-9
         a, b = np.nonzero(near)
-        a += at
+        a, b = a + at, b + at
         good = (a < b) & ~(visits[a] & visits[b])
         if one != two:
             good &= chunk[a] != chunk[b]
@@ -181,8 +191,8 @@ def _compare(key: tuple, frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
         return pd.DataFrame({"k": [], "links": [], "root": []})
     root = _grouped(np.concatenate(ends), len(x))
     used = np.flatnonzero(links)
-    k = frame["k"].to_numpy()
-    return pd.DataFrame({"k": k[used], "links": links[used], "root": k[root[used]]})
+    node = frame["k"].to_numpy()
+    return pd.DataFrame({"k": node[used], "links": links[used], "root": node[root[used]]})
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
@@ -192,14 +202,18 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         F.count("*").alias("copies"), F.min("id").alias("least"), F.first("label").alias("label"), F.first("width").alias("width"), F.first("x").alias("x")), "distinct")
     dealt = _dealt(_cells(groups, 2 - 2 * cosine))
     found = stored(dealt.groupBy(*CELL, "one", "two").applyInPandas(lambda key, frame: _compare(key, frame, cosine), "k binary, links long, root binary"), "links")
+    # nodes begin with their smallest id, so the smallest node of a component names it and nothing is joined by component
+    node = F.struct(F.col("least").isNull().alias("none"), "least", "k").alias("node")
+    nodes = stored(groups.select("k", node), "nodes")
+    edges = found.where("k <> root").select("k", "root").distinct()
+    edges = edges.join(nodes.toDF("k", "a"), "k").join(nodes.toDF("root", "b"), "root").select("a", "b")
+    roots = components(edges).select(F.col("node.k").alias("k"), F.col("root.least").alias("component"))
     links = found.groupBy("k").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("k").alias("a"), F.col("root").alias("b")))
-    named = groups.select("k", "copies", "least").join(links, "k", "left").join(roots.withColumnRenamed("node", "k"), "k", "left")
-    named = named.withColumn("root", F.coalesce("root", "k"))
-    first = named.groupBy("root").agg(F.min("least").alias("component"))
-    known = named.join(first, "root").select("k", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), "component")
-    out = rows.select("id", "k").join(known, "k", "left")
-    return out.select("id", F.coalesce("n", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    known = groups.select("k", "copies", "least").join(links, "k", "left").join(roots, "k", "left")
+    known = known.select("k", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "least").alias("component"))
+    used = rows.where("k is not null").select("id", "k").join(stored(known, "known"), "k").select("id", "n", "component")
+    alone = rows.where("k is null").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
+    return used.union(alone).select("id", F.col("n").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
 
 
 def digest(df: DataFrame) -> DataFrame:
