@@ -5,8 +5,9 @@ repeats count) are ranked by ``SKETCHES`` hash functions; each sketch takes the
 it is equal only where the texts agree in content and order. Classes are candidates if two sketches agree: with two
 shingles per sketch and ten sketches, a pair of similarity 0.8 is missed with probability 7e-4 (0.64 per sketch), one of 0.85 with
 7e-5. Candidates of a bucket are linked through a pivot chosen by a hash of class and bucket, so no pairs inside a bucket are
-listed; members that turn out unlike the pivot meet a second pivot of their own, and a pair of 0.8 shares about 17 of the 45 buckets,
-each with another pivot.
+listed; members that turn out unlike the pivot meet a second pivot of their own. Buckets that still hold several groups (template
+pages) are settled exactly: of each member at most the rarest fifth of its shingles is kept, rarest among these members first, and members
+of different groups that share one of them are compared. Two texts of similarity 0.8 always share one, so no pair of a bucket is lost.
 
 A candidate is a link if the in-order common shingles of the two word sequences, found by an edit alignment inside the band that the
 threshold allows, reach a Jaccard similarity of ``SIMILARITY``. Groups are the connected components of links.
@@ -20,7 +21,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracework.llm.graph import components
@@ -199,6 +200,47 @@ def _pivots(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select(F.least("k", "pivot").alias("a"), F.greatest("k", "pivot").alias("b")).distinct(), rows
 
 
+def _tokens(texts: DataFrame) -> DataFrame:
+    """Labelled shingles ``t`` of word sequences (``k``, ``root``, ``ids``), with their number ``n``; texts below one shingle are left out."""
+    def cut(batches):
+        for whole in batches:
+            for batch in slices(whole, "ids", 1 << 20):
+                found = [np.frombuffer(x, np.uint32) for x in batch.column("ids").to_pylist()]
+                bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+                grams, cuts = shingles(np.concatenate(found).astype(np.uint64), bounds)
+                tokens = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(labelled(grams, cuts).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("root"), tokens], names=["k", "root", "t"])
+
+    # shorter texts are alike only if they are equal, and equal texts are one class
+    long = texts.where(F.length("ids") >= 4 * SHINGLE)
+    return long.mapInArrow(cut, "k binary, root binary, t array<long>").select("k", "root", F.size("t").alias("n"), F.explode("t").alias("t"))
+
+
+def _remaining(bucket: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of different groups among the members of buckets that hold several, by an exact prefix filter.
+
+    If the common shingles of two texts reach the similarity, then in one order of all shingles the first common one stands near
+    the front of both; with the rare ones first, what a template gives to all its pages stands behind that place unless they are alike.
+    """
+    groups = components(links).withColumnRenamed("node", "k")
+    rows = stored(bucket.select("k", "key").join(groups, "k", "left").withColumn("root", F.coalesce("root", "k")), "grouped")
+    several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    members = rows.join(stored(several, "several"), "key").select("k", "root").distinct()
+    tokens = stored(_tokens(members.join(texts, "k").select("k", "root", "ids")), "tokens")
+    counts = stored(tokens.groupBy("t").agg(F.count("*").alias("texts"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("short")), "token-counts")
+    place = F.row_number().over(Window.partitionBy("k").orderBy("texts", "t"))
+    # at the first shingle that a similar pair shares, what is left of either text, this shingle included, still suffices
+    share = SIMILARITY / (1 + SIMILARITY)
+    partner = F.greatest(F.col("short"), F.col("n") * SIMILARITY)
+    ranked = tokens.join(counts, "t").withColumn("place", place).where(F.col("n") - F.col("place") + 1 >= (F.col("n") + partner) * share - 1e-6)
+    # shingles of one group only link nothing new
+    prefix = stored(ranked.where("lo <> hi").select("t", "k", "root", "n", F.col("place").cast("int").alias("place")), "prefixes")
+    left, right = (prefix.toDF("t", f"k{x}", f"root{x}", f"n{x}", f"place{x}") for x in "ab")
+    enough = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb")) + 1 >= (F.col("na") + F.col("nb")) * share - 1e-6
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * SIMILARITY - 1e-6
+    return left.join(right, "t").where((F.col("ka") < F.col("kb")) & (F.col("roota") != F.col("rootb")) & near & enough).select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: ``id``, ``_h`` (text hash), ``class_id`` (smallest id of the same words), ``group_id`` (smallest id of
     the group of near duplicates) and ``kept``."""
@@ -218,7 +260,10 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     again = bucket.join(unlike, (F.least("k", "pivot") == F.col("a")) & (F.greatest("k", "pivot") == F.col("b")), "left_semi").select("k", "key")
     more, _ = _pivots(again)
     more = stored(_verified(more.join(checked, ["a", "b"], "left_anti"), texts), "checked")
-    groups = components(checked.union(more).where("ok").select("a", "b"))
+    checked = checked.union(more)
+    rest = _remaining(bucket, checked.where("ok").select("a", "b"), texts).join(checked, ["a", "b"], "left_anti")
+    checked = checked.union(stored(_verified(stored(rest, "candidates"), texts), "checked"))
+    groups = components(checked.where("ok").select("a", "b"))
     named = reps.select("k", "first").join(groups.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     named = stored(named, "named")
     best = stored(named.groupBy("root").agg(F.min("first").alias("best")), "best")
