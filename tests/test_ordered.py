@@ -36,6 +36,19 @@ def test_all_columns(small_ranges, frame):
     assert (got["c"] == want.groupby("k")["id"].transform("count")).all()
 
 
+def test_null_keys_and_order_values(spark, small_ranges):
+    """Ranges give what the plain window gives, also for null keys, null order values and both."""
+    rows = [(None if i % 4 == 0 else i % 4, None if i % 9 == 0 else float(i * 37 % 101), i, None if i % 5 == 0 else i) for i in range(120)]
+    d = spark.createDataFrame(rows, "k int, t double, id int, v int")
+    def run(cuts):
+        got = ordered_columns(d, ["k"], ["t", "id"], cuts=cuts, index="i", lag={"p": "v"}, lead={"q": "v"}, running={"s": "v"},
+                              last={"l": "v"}, next={"n": "v"}, total={"tot": ("sum", F.col("v")), "c": ("count", F.lit(1))})
+        return sorted(map(tuple, got.select("id", "k", "t", "i", "p", "q", "s", "l", "n", "tot", "c").collect()))
+    assert run(None) == run([])
+    windows = win.count_windows(d, ["k"], ["t", "id"], size=10)
+    assert windows.count() == 120 and windows.where("k is null").count() == 30
+
+
 def test_without_keys(small_ranges, frame):
     d = small_ranges.createDataFrame(frame)
     got = ordered_columns(d, [], ["t"], index="i").toPandas()

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tracework.session import rows_per_range
 
 RANGE = "_range"
+KEY = "_key"
 MAX_RANGES = 10_000
 
 
@@ -42,13 +43,13 @@ def later_cuts(cuts: Sequence[float], df: DataFrame, by: str) -> list[float]:
 
 
 def add_range(df: DataFrame, by: str, cuts: Sequence[float], out: str = RANGE) -> DataFrame:
-    """Number of the range the value of ``by`` falls into."""
+    """Number of the range the value of ``by`` falls into; nulls have range -1, ahead of all others as in an ascending order."""
     tmp = f"{out}_v"
     splits = [-float("inf"), *cuts, float("inf")]
     tagged = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep").transform(
         df.withColumn(tmp, F.col(by).cast("double"))
     )
-    return tagged.withColumn(out, F.col(out).cast("int")).drop(tmp)
+    return tagged.withColumn(out, F.when(F.col(tmp).isNull(), -1).otherwise(F.col(out).cast("int"))).drop(tmp)
 
 
 def _order(order: Sequence[str | Column]) -> list[Column]:
@@ -77,7 +78,7 @@ def ordered_columns(
               expression given as ``{out: (kind, column)}``.
 
     ``order`` must be a total order inside a key; ``order[0]`` is numeric and is the
-    column cut into ranges.  Keys are expected to be non-null.
+    column cut into ranges.  Null keys are a key of their own; null order values come first.
     """
     lag, lead, running = dict(lag or {}), dict(lead or {}), dict(running or {})
     last, nxt, total = dict(last or {}), dict(next or {}), dict(total or {})
@@ -86,6 +87,9 @@ def ordered_columns(
         cuts = range_cuts(df, order[0])
     single = len(cuts) == 0
     base = df if single else add_range(df, order[0], cuts)
+    if keys and not single:  # a struct is never null: null keys meet in the join, on the windows' partitioning
+        base = base.withColumn(KEY, F.struct(*keys))
+        keys = [KEY]
     parts = keys if single else [*keys, RANGE]
     part_cols = [F.col(k) for k in parts] or [F.lit(1)]
     w = Window.partitionBy(*part_cols).orderBy(*_order(order))
