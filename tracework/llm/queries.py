@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracework.llm import curriculum, debruijn, decision_list, langid, order_minhash, subspace_join, suffix_dedup, tool_chat, toxicity, trie_bpe
+from tracework.llm import (
+    curriculum, debruijn, decision_list, langid, order_minhash, spelling, subspace_join, suffix_dedup, token_alignment, token_counts, tool_chat, toxicity, trie_bpe,
+)
 from tracework.llm.text import lean
 from tracework.session import prepare
 
@@ -90,3 +92,18 @@ def op9(spark, sf_dir):
 @query("op10_subspace_join", subspace_join.SQL)
 def op10(spark, sf_dir):
     return subspace_join.digest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_token_counts")
+def op11(spark, sf_dir):
+    return token_counts.digest(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+
+
+@query("op12_token_alignment")
+def op12(spark, sf_dir):
+    return token_alignment.digest(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model"))
+
+
+@query("op13_spelling_variants")
+def op13(spark, sf_dir):
+    return spelling.digest(table(spark, sf_dir, "documents"))
