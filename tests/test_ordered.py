@@ -40,15 +40,53 @@ def test_null_keys_and_order_values(spark, small_ranges):
     """Ranges give what the plain window gives, also for null keys, null order values and both."""
     rows = [(None if i % 4 == 0 else i % 4, None if i % 9 == 0 else float(i * 37 % 101), i, None if i % 5 == 0 else i) for i in range(120)]
     d = spark.createDataFrame(rows, "k int, t double, id int, v int")
-    def run(cuts):
-        got = ordered_columns(d, ["k"], ["t", "id"], cuts=cuts, index="i", lag={"p": "v"}, lead={"q": "v"}, running={"s": "v"},
+    def run(ranges):
+        got = ordered_columns(d, ["k"], ["t", "id"], ranges=ranges, index="i", lag={"p": "v"}, lead={"q": "v"}, running={"s": "v"},
                               last={"l": "v"}, next={"n": "v"}, total={"tot": ("sum", F.col("v")), "c": ("count", F.lit(1))})
         return sorted(map(tuple, got.select("id", "k", "t", "i", "p", "q", "s", "l", "n", "tot", "c").collect()))
-    assert run(None) == run([])
+    assert run(None) == run(1) == run(2) == run(40)
     windows = win.count_windows(d, ["k"], ["t", "id"], size=10)
     assert windows.count() == 120 and windows.where("k is null").count() == 30
 
 
+def test_hot_clock_value_is_split(spark):
+    """Nine tenths of the rows share one key and one clock value; the further order columns cut them all the same."""
+    d = spark.range(4000).selectExpr("1 k", "case when id % 10 = 0 then id else 7 end t", "id", "cast(id % 13 as double) v")
+    columns = dict(index="i", lag={"p": "v"}, lead={"q": "v"}, running={"s": "v"}, last={"l": "v"}, next={"n": "v"}, total={"c": ("count", F.lit(1))})
+    got = ordered_columns(d, ["k"], ["t", "id"], ranges=16, **columns)
+    want = ordered_columns(d, ["k"], ["t", "id"], ranges=1, **columns)
+    cols = sorted(want.columns)
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    path = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_range" in path
+    file = [f for f in got.inputFiles()]
+    sizes = [spark.read.parquet(f).count() for f in file]
+    assert len(sizes) > 8 and max(sizes) < 4000 / 16 * 4
+
+
+def test_no_job_to_choose_ranges(spark, small_ranges):
+    """The number of ranges comes from the plan; input of unknown size alone is counted."""
+    from conftest import SF
+    from tracework.operators.ordered import range_count
+    tracker = spark.sparkContext.statusTracker()
+    d = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_quantity > 5").groupBy("l_orderkey").count()
+    spark.sparkContext.setJobGroup("ranges", "")
+    assert range_count(d) > 10 and len(tracker.getJobIdsForGroup("ranges")) == 0
+    assert range_count(spark.createDataFrame([(1,)] * 20, "a int").repartition(2)) == 3
+
+
+def test_types_through_ranges(spark):
+    """Dates, times, decimals, strings, structs and arrays ride along; keys may be missing or not a number."""
+    d = spark.range(60).selectExpr(
+        "if(id % 3 = 0, null, if(id % 3 = 1, double('nan'), 1.5)) k", "id", "timestamp_micros(id * 1000) ts", "date_add(date'2020-01-01', cast(id as int)) day",
+        "cast(id as decimal(12,2)) amount", "named_struct('a', id, 'b', array(id)) s", "if(id % 4 = 0, null, cast(id as string)) name", "cast(id as int) n")
+    columns = dict(lag={"p": "s"}, lead={"q": "day"}, last={"l": "name"}, next={"x": "name"}, running={"r": "n"}, total={"m": ("max", F.col("amount")), "z": ("min", F.col("name")), "t": ("sum", F.col("n"))})
+    a, b = (ordered_columns(d, ["k"], ["id"], ranges=r, **columns) for r in (1, 9))
+    assert dict(a.dtypes) == dict(b.dtypes)
+    cols = sorted(a.columns)
+    assert sorted(map(repr, a.select(cols).collect())) == sorted(map(repr, b.select(cols).collect()))
+
+
 def test_without_keys(small_ranges, frame):
     d = small_ranges.createDataFrame(frame)
     got = ordered_columns(d, [], ["t"], index="i").toPandas()

@@ -26,13 +26,21 @@ def test_filter_reaches_scan(spark):
     assert "GreaterThanOrEqual(o_totalprice,42062.0)" in p and "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in p
 
 
+def shuffles(df):
+    return plan(df).split("== Physical Plan ==")[1].count("Exchange hashpartitioning")
+
+
 def test_ordered_window_uses_ranges(spark):
+    """With ranges: one range shuffle ahead (written), then no shuffle of the rows; only border rows are dealt by key and by range."""
+    plain = shuffles(QUERIES["win_count_size"](spark, SF))
     spark.conf.set(ROWS_PER_RANGE, "100")
     try:
-        p = plan(QUERIES["win_count_size"](spark, SF))
+        ranged = QUERIES["win_count_size"](spark, SF)
     finally:
         spark.conf.unset(ROWS_PER_RANGE)
-    assert "hashpartitioning(part" in p and "_range" in p
+    p = plan(ranged).split("== Physical Plan ==")[1]
+    assert "hashpartitioning(part" in p and "hashpartitioning(_range" in p
+    assert plain == 1 and shuffles(ranged) <= plain + 1
 
 
 def test_nearest_join_is_one_shuffle(spark):

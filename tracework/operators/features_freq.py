@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracework.operators.ordered import later_cuts, ordered_columns, range_cuts
+from tracework.operators.ordered import ordered_columns, range_count
 from tracework.operators.quality import with_group_stats
 
 ROLLOFF, SIGNIFICANT = 0.85, 0.95
@@ -57,15 +57,15 @@ def rolloff(df: DataFrame, keys: Sequence[str], share: float = ROLLOFF) -> DataF
 
 
 def local_maxima(df: DataFrame, keys: Sequence[str], index: str, value: str,
-                 cuts: Sequence[float] | None = None) -> DataFrame:
+                 ranges: int | None = None) -> DataFrame:
     """Local maxima incl. flat tops (left-middle point); first and last point never count."""
-    cuts = range_cuts(df, index) if cuts is None else cuts
-    d = ordered_columns(df.select(*keys, index, value), keys, [index], cuts=cuts, lag={"_p": value})
+    ranges = range_count(df) if ranges is None else ranges
+    d = ordered_columns(df.select(*keys, index, value), keys, [index], ranges=ranges, lag={"_p": value})
     d = d.withColumn("_new", F.when(F.col("_p") == F.col(value), 0).otherwise(1)).drop("_p")
-    d = ordered_columns(d, keys, [index], cuts=cuts, running={"_plateau": "_new"})
+    d = ordered_columns(d, keys, [index], ranges=ranges, running={"_plateau": "_new"})
     flat = d.groupBy(*keys, "_plateau").agg(
         F.min(index).alias("_a"), F.max(index).alias("_b"), F.first(value).alias(value))
-    flat = ordered_columns(flat, keys, ["_a"], cuts=cuts, lag={"_l": value}, lead={"_r": value})
+    flat = ordered_columns(flat, keys, ["_a"], ranges=ranges, lag={"_l": value}, lead={"_r": value})
     top = (F.col("_l") < F.col(value)) & (F.col("_r") < F.col(value))
     return flat.where(top).select(*keys, F.floor((F.col("_a") + F.col("_b")) / 2).cast("long").alias(index), value)
 
@@ -87,10 +87,10 @@ def peaks(df: DataFrame, keys: Sequence[str], share: float = SIGNIFICANT) -> Dat
     keys = list(keys)
     e = F.col("m") * F.col("m")
     total = df.groupBy(*keys).agg(F.sum(e).alias("_t"))
-    cuts = range_cuts(df, "k")
-    tops = local_maxima(df, keys, "k", "m", cuts).join(df.select(*keys, "k", "f"), [*keys, "k"]).join(total, keys)
-    tops = ordered_columns(tops, keys, ["k"], cuts=cuts, lag={"_pf": "f"}).withColumn("_ne", -e)
-    tops = ordered_columns(tops, keys, ["_ne", "k"], cuts=later_cuts(cuts, tops, "_ne"), running={"_cum": "_ne"})
+    ranges = range_count(df)
+    tops = local_maxima(df, keys, "k", "m", ranges).join(df.select(*keys, "k", "f"), [*keys, "k"]).join(total, keys)
+    tops = ordered_columns(tops, keys, ["k"], ranges=ranges, lag={"_pf": "f"}).withColumn("_ne", -e)
+    tops = ordered_columns(tops, keys, ["_ne", "k"], ranges=ranges, running={"_cum": "_ne"})
     significant = F.count_if(-F.col("_cum") <= F.lit(share) * F.col("_t"))
     g = tops.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("num_peaks"), *_spread4(F.col("m"), "peak_height"), *_spread4(F.col("f"), "peak_frequency"),
@@ -109,9 +109,9 @@ def psd(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.avg(p).alias("mean_psd"), F.stddev_pop(p).alias("std_psd"), F.max(p).alias("max_psd"), F.min(p).alias("min_psd"),
         F.skewness(p).alias("skewness_psd"), F.kurtosis(p).alias("kurtosis_psd"),
         _ratio(F.sum(F.col("f") * p), F.sum(p)).alias("power_centroid_psd"))
-    cuts = range_cuts(df, "k")
-    tops = local_maxima(d, keys, "k", "p", cuts).join(df.select(*keys, "k", "f"), [*keys, "k"])
-    tops = ordered_columns(tops, keys, ["k"], cuts=cuts, lag={"_pf": "f"})
+    ranges = range_count(df)
+    tops = local_maxima(d, keys, "k", "p", ranges).join(df.select(*keys, "k", "f"), [*keys, "k"])
+    tops = ordered_columns(tops, keys, ["k"], ranges=ranges, lag={"_pf": "f"})
     g = tops.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_peaks"), *_spread4(p, "peak_value"),
                                 *_spread4(F.col("f"), "peak_frequency"), *_spread4(F.col("f") - F.col("_pf"), "peak_distance"))
     out = base.join(g, keys, "left").na.fill(0, ["num_peaks"])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tracework.functions.numeric import adjusted_kurtosis, adjusted_skew
-from tracework.operators.ordered import group_quantiles, ordered_columns, range_cuts
+from tracework.operators.ordered import group_quantiles, ordered_columns, range_count
 from tracework.operators.quality import with_group_stats
 
 # Benford's law probabilities come from this rule for the digits 1..9.
@@ -75,10 +75,10 @@ def strikes(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
     """Longest runs strictly above and strictly below the mean."""
     d = with_group_stats(df, keys, F.avg(value).alias("_m"))
     d = d.withColumn("_side", F.signum(F.col(value) - F.col("_m")))
-    cuts = range_cuts(df, order[0])
-    d = ordered_columns(d, keys, order, cuts=cuts, lag={"_ps": "_side"})
+    ranges = range_count(df)
+    d = ordered_columns(d, keys, order, ranges=ranges, lag={"_ps": "_side"})
     d = d.withColumn("_new", F.when(F.col("_ps") == F.col("_side"), 0).otherwise(1)).drop("_ps")
-    d = ordered_columns(d, keys, order, cuts=cuts, running={"_run": "_new"})
+    d = ordered_columns(d, keys, order, ranges=ranges, running={"_run": "_new"})
     r = d.groupBy(*keys, "_run", "_side").agg(F.count(F.lit(1)).alias("_len"))
     longest = lambda s: F.coalesce(F.max(F.when(F.col("_side") == s, F.col("_len"))), F.lit(0))
     return r.groupBy(*keys).agg(longest(1).alias("longest_strike_above_mean"), longest(-1).alias("longest_strike_below_mean"))

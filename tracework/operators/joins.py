@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracework.operators.ordered import ordered_columns, range_cuts
+from tracework.operators.ordered import ordered_columns, range_count
 
 
 def _stack(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str, left_id: str,
@@ -45,15 +45,15 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str] = ()
     """
     by = list(by)
     stacked = _stack(left, right, by, on, left_id, right_id, right_first=direction != "forward")
-    cuts = range_cuts(stacked, "_t")
+    ranges = range_count(stacked)
     order = ["_t", "_side", "_id"]
     if direction == "backward":
-        got = ordered_columns(stacked, by, order, cuts=cuts, last={"_p": "_r"})
+        got = ordered_columns(stacked, by, order, ranges=ranges, last={"_p": "_r"})
         return _emit(got, left, right, by, F.col("_p"), suffix)
     if direction == "forward":
-        got = ordered_columns(stacked, by, order, cuts=cuts, next={"_n": "_r"})
+        got = ordered_columns(stacked, by, order, ranges=ranges, next={"_n": "_r"})
         return _emit(got, left, right, by, F.col("_n"), suffix)
-    got = ordered_columns(stacked, by, order, cuts=cuts, last={"_p": "_r"}, next={"_n": "_r"})
+    got = ordered_columns(stacked, by, order, ranges=ranges, last={"_p": "_r"}, next={"_n": "_r"})
     back, ahead = F.col("_t") - F.col(f"_p.{on}"), F.col(f"_n.{on}") - F.col("_t")
     nearer = (
         F.when(F.col("_n").isNull(), F.col("_p"))

@@ -1,55 +1,40 @@
 """Ordered per-key columns that never gather a whole key in one task.
 
-A plain ``Window.partitionBy(key).orderBy(ts)`` puts every row of a key into one
-task; one recording may hold a third of the data.  Here the order column is cut
-into ranges, windows run per (key, range), and what crosses a range border (counts,
-sums, previous/next values) travels through a small table with one row per
-(key, range) that is joined back on the same partitioning.
+A plain ``Window.partitionBy(key).orderBy(ts)`` puts every row of a key into one task; one recording may hold a third of the
+data, and one clock value may hold most of a recording.  Large inputs are therefore shuffled once by ranges of the whole tuple
+(keys, order), whose borders Spark samples itself.  One pass over each sorted range computes what the range alone can say and is
+written down; what crosses a border (counts, sums, previous and next values) can only concern the first and the last key of a
+range, so it travels through the first and last rows of the ranges: two rows per range, joined back by the range's number.
 """
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracework.session import rows_per_range
+from tracework.session import materialise, rows_per_range
 
-RANGE = "_range"
-KEY = "_key"
-MAX_RANGES = 10_000
+#: Bytes of input files that count as one row when nothing else is known before a plan has run.
+BYTES_PER_ROW = 64
+KINDS = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 
-def range_cuts(df: DataFrame, by: str) -> list[float]:
-    """Range borders for ``by`` so that a range holds about ``rowsPerRange`` rows.
+def range_count(df: DataFrame) -> int:
+    """Number of ranges for an ordered pass over ``df``: about its rows by ``rowsPerRange``, 1 for a plain window.
 
-    One aggregate pass; the driver receives at most MAX_RANGES numbers.
+    The rows are judged by the size of the files that the plan reads, so no job runs.  Only rows that the driver or an RDD
+    holds, whose size no plan knows, are counted.
     """
-    n = df.where(F.col(by).isNotNull()).count()
-    want = min(MAX_RANGES, -(-n // rows_per_range(df.sparkSession)))
-    if want <= 1:
-        return []
-    probs = [i / want for i in range(1, want)]
-    cuts = df.agg(
-        F.percentile_approx(F.col(by).cast("double"), probs, max(10_000, 4 * want)).alias("c")
-    ).first()["c"]
-    return sorted(set(cuts))
-
-
-def later_cuts(cuts: Sequence[float], df: DataFrame, by: str) -> list[float]:
-    """Cuts for a frame derived from one that was already measured (never larger than it)."""
-    return range_cuts(df, by) if cuts else []
-
-
-def add_range(df: DataFrame, by: str, cuts: Sequence[float], out: str = RANGE) -> DataFrame:
-    """Number of the range the value of ``by`` falls into; nulls have range -1, ahead of all others as in an ascending order."""
-    tmp = f"{out}_v"
-    splits = [-float("inf"), *cuts, float("inf")]
-    tagged = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep").transform(
-        df.withColumn(tmp, F.col(by).cast("double"))
-    )
-    return tagged.withColumn(out, F.when(F.col(tmp).isNull(), -1).otherwise(F.col(out).cast("int"))).drop(tmp)
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    rows = sum(sizes) // BYTES_PER_ROW if all(n < 1 << 62 for n in sizes) else df.count()
+    return max(1, -(-rows // rows_per_range(df.sparkSession)))
 
 
 def _order(order: Sequence[str | Column]) -> list[Column]:
@@ -61,7 +46,7 @@ def ordered_columns(
     keys: Sequence[str],
     order: Sequence[str],
     *,
-    cuts: Sequence[float] | None = None,
+    ranges: int | None = None,
     index: str | None = None,
     lag: Mapping[str, str] | None = None,
     lead: Mapping[str, str] | None = None,
@@ -77,114 +62,159 @@ def ordered_columns(
     total     aggregate over the whole key; every aggregate must be a sum/count/min/max
               expression given as ``{out: (kind, column)}``.
 
-    ``order`` must be a total order inside a key; ``order[0]`` is numeric and is the
-    column cut into ranges.  Null keys are a key of their own; null order values come first.
+    ``order`` must be a total order inside a key.  Null keys are a key of their own; null order values come first.
+    ``ranges`` is the number of ranges, by default what ``range_count`` says; results do not depend on it.
     """
-    lag, lead, running = dict(lag or {}), dict(lead or {}), dict(running or {})
-    last, nxt, total = dict(last or {}), dict(next or {}), dict(total or {})
-    keys = list(keys)
-    if cuts is None:
-        cuts = range_cuts(df, order[0])
-    single = len(cuts) == 0
-    base = df if single else add_range(df, order[0], cuts)
-    if keys and not single:  # a struct is never null: null keys meet in the join, on the windows' partitioning
-        base = base.withColumn(KEY, F.struct(*keys))
-        keys = [KEY]
-    parts = keys if single else [*keys, RANGE]
-    part_cols = [F.col(k) for k in parts] or [F.lit(1)]
-    w = Window.partitionBy(*part_cols).orderBy(*_order(order))
+    wanted = {"lag": dict(lag or {}), "lead": dict(lead or {}), "running": dict(running or {}), "last": dict(last or {}), "next": dict(next or {})}
+    total, keys, order = dict(total or {}), list(keys), list(order)
+    ranges = range_count(df) if ranges is None else ranges
+    if ranges <= 1:
+        return _by_window(df, keys, order, index, wanted, total)
+    return _by_ranges(df, keys, order, ranges, index, wanted, total)
+
+
+def _by_window(df: DataFrame, keys: list[str], order: list[str], index: str | None, wanted: dict[str, dict[str, str]], total: dict) -> DataFrame:
+    """One window per key."""
+    parts = [F.col(k) for k in keys] or [F.lit(1)]
+    w = Window.partitionBy(*parts).orderBy(*_order(order))
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # "next" runs over the reversed order: a frame open to the end would rescan the rest for every row
-    back = Window.partitionBy(*part_cols).orderBy(*[c.desc() for c in _order(order)])
+    back = Window.partitionBy(*parts).orderBy(*[c.desc() for c in _order(order)])
     back = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*part_cols)
-
-    sel: list[Column] = []
-    if index or lag or not single:
-        sel.append(F.row_number().over(w).alias("_rn"))
-    for out, c in lag.items():
-        sel.append(F.lag(c).over(w).alias(out))
-    for out, c in lead.items():
-        sel.append(F.lead(c).over(w).alias(out))
-    if lead and not single:
-        sel.append(F.lead(F.lit(1)).over(w).alias("_has_next"))
-    for out, c in running.items():
-        sel.append(F.sum(c).over(upto).alias(out))
-    for out, c in last.items():
-        sel.append(F.last(c, ignorenulls=True).over(upto).alias(out))
-    for out, c in nxt.items():
-        sel.append(F.last(c, ignorenulls=True).over(back).alias(out))
-    kinds = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-    if single:
-        for out, (kind, c) in total.items():
-            sel.append(kinds[kind](c).over(whole).alias(out))
-    local = base.select("*", *sel)
-    if single:
-        if index:
-            local = local.withColumn(index, (F.col("_rn") - 1).cast("long"))
-        return local.drop("_rn")
-
-    # one row per (key, range)
-    pos = F.struct(*_order(order))
-    aggs: list[Column] = [F.count(F.lit(1)).alias("_n")]
-    for out, c in lag.items():
-        aggs.append(F.max_by(F.struct(F.col(c).alias("v")), pos).alias(f"_lag_{out}"))
-    for out, c in lead.items():
-        aggs.append(F.min_by(F.struct(F.col(c).alias("v")), pos).alias(f"_lead_{out}"))
-    for out, c in running.items():
-        aggs.append(F.sum(c).alias(f"_sum_{out}"))
-    for out, c in last.items():
-        seen = F.when(F.col(c).isNotNull(), pos)
-        aggs.append(F.max_by(c, seen).alias(f"_last_{out}"))
-    for out, c in nxt.items():
-        seen = F.when(F.col(c).isNotNull(), pos)
-        aggs.append(F.min_by(c, seen).alias(f"_next_{out}"))
-    for out, (kind, c) in total.items():
-        aggs.append(kinds[kind](c).alias(f"_tot_{out}"))
-    summary = base.groupBy(*parts).agg(*aggs)
-
-    key_cols = [F.col(k) for k in keys] or [F.lit(1)]
-    kw = Window.partitionBy(*key_cols).orderBy(RANGE)
-    before = kw.rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*key_cols).orderBy(F.col(RANGE).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    kall = Window.partitionBy(*key_cols)
-    carry = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")]
-    for out in lag:
-        carry.append(F.lag(f"_lag_{out}").over(kw).alias(f"_lag_{out}"))
-    for out in lead:
-        carry.append(F.lead(f"_lead_{out}").over(kw).alias(f"_lead_{out}"))
-    for out in running:
-        carry.append(F.sum(f"_sum_{out}").over(before).alias(f"_sum_{out}"))
-    for out in last:
-        carry.append(F.last(f"_last_{out}", ignorenulls=True).over(before).alias(f"_last_{out}"))
-    for out in nxt:
-        carry.append(F.last(f"_next_{out}", ignorenulls=True).over(after).alias(f"_next_{out}"))
+    sel = [(F.row_number().over(w) - 1).cast("long").alias(index)] if index else []
+    sel += [F.lag(c).over(w).alias(out) for out, c in wanted["lag"].items()]
+    sel += [F.lead(c).over(w).alias(out) for out, c in wanted["lead"].items()]
+    sel += [F.sum(c).over(upto).alias(out) for out, c in wanted["running"].items()]
+    sel += [F.last(c, ignorenulls=True).over(upto).alias(out) for out, c in wanted["last"].items()]
+    sel += [F.last(c, ignorenulls=True).over(back).alias(out) for out, c in wanted["next"].items()]
+    sel += [KINDS[kind](c).over(Window.partitionBy(*parts)).alias(out) for out, (kind, c) in total.items()]
+    return df.select("*", *sel)
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before it; nulls are equal, and so are NaNs."""
+    a, b = column.slice(1), column.slice(0, max(len(column) - 1, 0))
+    if pa.types.is_nested(column.type):
+        return np.array([x != y for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], bool)
+    same = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False) | (a.is_null().to_numpy(zero_copy_only=False) & b.is_null().to_numpy(zero_copy_only=False))
+    if pa.types.is_floating(column.type):
+        same |= pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False).to_numpy(zero_copy_only=False)
+    return ~same
+
+
+def _running(column: pa.Array, starts: np.ndarray, start: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Running sum inside each group, null ahead of its first value."""
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    values = pc.fill_null(column, 0).cast(kind).to_numpy(zero_copy_only=False)
+    if pa.types.is_floating(kind):  # a group's sum must not carry another group's rounding
+        sums = np.concatenate([np.cumsum(part) for part in np.split(values, starts[1:])])
+    else:
+        sums = np.cumsum(values)
+        sums = sums - (sums[start] - values[start])
+    seen = np.cumsum(valid)
+    return pa.array(sums, mask=(seen - (seen[start] - valid[start])) == 0)
+
+
+def _sorted_pass(names: list[str], keys: list[str], wanted: dict[str, dict[str, str]], doubles: set[str], kinds: dict[str, str]):
+    """What one sorted range says by itself; a task holds its range, whose size is that of a shuffle partition."""
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        column = {c: table.column(c).chunk(0) for c in table.column_names}
+        n = table.num_rows
+        at = np.arange(n)
+        new = np.zeros(n, bool)
+        new[0] = True
+        for k in keys:
+            new[1:] |= _changes(column[k])
+        starts = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        start = starts[group]
+        end = np.append(starts[1:], n)[group] - 1
+        got = {}
+        for out, c in wanted["lag"].items():
+            got[out] = column[c].take(pa.array(at - 1, mask=at == start))
+        for out, c in wanted["lead"].items():
+            got[out] = column[c].take(pa.array(at + 1, mask=at == end))
+        for out, c in wanted["running"].items():
+            got[out] = _running(column[c], starts, start, pa.float64() if out in doubles else pa.int64())
+        for out, c in wanted["last"].items():
+            seen = np.maximum.accumulate(np.where(column[c].is_valid().to_numpy(zero_copy_only=False), at, -1))
+            got[out] = column[c].take(pa.array(seen, mask=seen < start))
+        for out, c in wanted["next"].items():
+            seen = np.minimum.accumulate(np.where(column[c].is_valid().to_numpy(zero_copy_only=False), at, n)[::-1])[::-1]
+            got[out] = column[c].take(pa.array(seen, mask=seen > end))
+        for out, kind in kinds.items():
+            sides = pa.table({"g": group, "v": column[f"_t_{out}"]}).group_by("g", use_threads=False).aggregate([("v", kind)])
+            got[out] = sides.column(f"v_{kind}").combine_chunks().take(pa.array(group))
+        head, tail = group == 0, group == group[-1]
+        got |= {"_i": pa.array(at - start), "_range": pa.array(np.full(n, TaskContext.get().partitionId(), np.int32)), "_head": pa.array(head), "_tail": pa.array(tail),
+                "_first": pa.array(at == 0), "_last": pa.array(at == n - 1)}
+        yield from pa.table([*[column[c] for c in names], *got.values()], names=[*names, *got]).to_batches(max_chunksize=10_000)
+
+    return run
+
+
+def _by_ranges(df: DataFrame, keys: list[str], order: list[str], ranges: int, index: str | None, wanted: dict[str, dict[str, str]], total: dict) -> DataFrame:
+    """One range shuffle, one sorted pass that is written down, and a table of two border rows per range."""
+    rows = df.select("*", *[c.alias(f"_t_{out}") for out, (_, c) in total.items()])
+    types = {f.name: f.dataType for f in rows.schema}
+    source = {out: c for group in wanted.values() for out, c in group.items()}
+    sums = {f.name: f.dataType for f in rows.select(*[F.sum(c).alias(out) for out, c in wanted["running"].items()], *[KINDS[k](f"_t_{o}").alias(o) for o, (k, _) in total.items()]).schema} if wanted["running"] or total else {}
+    for out in wanted["running"]:
+        if not isinstance(sums[out], T.LongType | T.DoubleType):
+            raise TypeError(f"running sums are long or double, not {sums[out].simpleString()}")
+    out_types = {out: sums.get(out) or types[c] for out, c in source.items()} | {out: sums[out] for out in total}
+    marks = {"_i": T.LongType(), "_range": T.IntegerType(), "_head": T.BooleanType(), "_tail": T.BooleanType(), "_first": T.BooleanType(), "_last": T.BooleanType()}
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema] + [T.StructField(n, t) for n, t in (out_types | marks).items()])
+
+    one_pass = _sorted_pass(df.columns, keys, wanted, {out for out, t in sums.items() if isinstance(t, T.DoubleType)}, {out: kind for out, (kind, _) in total.items()})
+    place = [*[F.col(k) for k in keys], *_order(order)]
+    local = materialise(rows.repartitionByRange(ranges, *place).sortWithinPartitions(*place).mapInArrow(one_pass, schema), "ordered")
+
+    # the first and the last row of each range; a range of one row is both
+    side = F.explode(F.array_compact(F.array(F.when(F.col("_first"), F.lit(0)), F.when(F.col("_last"), F.lit(1)))))
+    edges = local.where("_first or _last").withColumn("_side", side)
+    parts = [F.col(k) for k in keys] or [F.lit(1)]
+    ended, begun = F.col("_side") == 1, F.col("_side") == 0
+    before = Window.partitionBy(*parts).orderBy("_range", "_side").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*parts).orderBy(F.col("_range").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*parts)
+    cell = lambda c: F.struct(F.col(c).alias("v"))  # noqa: E731 - keeps a null value apart from no row
+    ahead = [F.sum(F.when(ended, F.col("_i") + 1)).over(before).alias("_offset")]
+    ahead += [F.last(F.when(ended, cell(c)), ignorenulls=True).over(before).alias(out) for out, c in wanted["lag"].items()]
+    ahead += [F.sum(F.when(ended, F.col(out))).over(before).alias(out) for out in wanted["running"]]
+    ahead += [F.last(F.when(ended, F.col(out)), ignorenulls=True).over(before).alias(out) for out in wanted["last"]]
+    behind = [F.lit(0).alias("_none")]
+    behind += [F.last(F.when(begun, cell(c)), ignorenulls=True).over(after).alias(out) for out, c in wanted["lead"].items()]
+    behind += [F.last(F.when(begun, F.col(out)), ignorenulls=True).over(after).alias(out) for out in wanted["next"]]
     merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
-    for out, (kind, _) in total.items():
-        carry.append(merge[kind](f"_tot_{out}").over(kall).alias(out))
-    borders = summary.select(*parts, *carry)
-
-    joined = local.join(borders, parts, "left")
-    first_here, last_here = F.col("_rn") == 1, F.col("_has_next").isNull()
-    new: dict[str, Column] = {}
-    for out in lag:
-        new[out] = F.when(first_here, F.col(f"_lag_{out}.v")).otherwise(F.col(out))
-    for out in lead:
-        new[out] = F.when(last_here, F.col(f"_lead_{out}.v")).otherwise(F.col(out))
-    for out in running:
-        new[out] = F.when(F.col(out).isNull(), F.col(f"_sum_{out}")).otherwise(
-            F.col(out) + F.coalesce(F.col(f"_sum_{out}"), F.lit(0))
-        )
-    for out in last:
-        new[out] = F.coalesce(F.col(out), F.col(f"_last_{out}"))
-    for out in nxt:
-        new[out] = F.coalesce(F.col(out), F.col(f"_next_{out}"))
-    keep = [c for c in df.columns]
-    outs = [F.col(c) for c in keep]
+    once = ended | ~F.col("_tail")  # a range inside one key tells its total once
+    sums_all = [merge[kind](F.when(once, F.col(out))).over(whole).alias(out) for out, (kind, _) in total.items()]
+    carried = edges.select("_range", "_side", F.struct(*ahead).alias("_ahead"), F.struct(*behind).alias("_behind"), F.struct(F.lit(0).alias("_none"), *sums_all).alias("_whole"))
+    pick = lambda c, side: F.first(F.when(side, F.col(c)), ignorenulls=True)
+    borders = carried.groupBy("_range").agg(pick("_ahead", begun).alias("_ahead"), pick("_behind", ended).alias("_behind"), pick("_whole", begun).alias("_wa"), pick("_whole", ended).alias("_wb"))
+
+    joined = local.join(borders, "_range", "left")
+    head, tail = F.col("_head"), F.col("_tail")
+    outs = [F.col(f"`{c}`") for c in df.columns]
     if index:
-        outs.append((F.col("_rn") - 1 + F.col("_off")).cast("long").alias(index))
-    outs += [c.alias(o) for o, c in new.items()]
-    outs += [F.col(o) for o in total]
+        outs.append((F.col("_i") + F.when(head, F.coalesce("_ahead._offset", F.lit(0))).otherwise(0)).cast("long").alias(index))
+    for out in wanted["lag"]:
+        outs.append(F.when(head & (F.col("_i") == 0), F.col(f"_ahead.{out}.v")).otherwise(F.col(out)).alias(out))
+    for out in wanted["lead"]:
+        outs.append(F.when(F.col("_last"), F.col(f"_behind.{out}.v")).otherwise(F.col(out)).alias(out))
+    for out in wanted["running"]:
+        carry = F.when(head, F.col(f"_ahead.{out}"))
+        outs.append(F.coalesce(F.col(out) + carry, F.col(out), carry).alias(out))
+    for out in wanted["last"]:
+        outs.append(F.coalesce(F.col(out), F.when(head, F.col(f"_ahead.{out}"))).alias(out))
+    for out in wanted["next"]:
+        outs.append(F.coalesce(F.col(out), F.when(tail, F.col(f"_behind.{out}"))).alias(out))
+    for out in total:
+        outs.append(F.when(head, F.col(f"_wa.{out}")).when(tail, F.col(f"_wb.{out}")).otherwise(F.col(out)).alias(out))
     return joined.select(*outs)
 
 
@@ -200,11 +230,7 @@ def group_quantiles(
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("_c")
     )
-    # distinct values never outnumber the rows, whose count is cheap
-    cuts = [] if df.count() <= rows_per_range(df.sparkSession) else range_cuts(counts, value)
-    pos = ordered_columns(
-        counts, keys, [value], cuts=cuts, running={"_hi": "_c"}, total={"_t": ("sum", F.col("_c"))}
-    )
+    pos = ordered_columns(counts, keys, [value], running={"_hi": "_c"}, total={"_t": ("sum", F.col("_c"))})
     lo = F.col("_hi") - F.col("_c")  # positions lo .. hi-1 hold this value
     aggs = []
     for out, p in probs.items():

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracework.operators.ordered import group_quantiles, later_cuts, ordered_columns, range_cuts
+from tracework.operators.ordered import group_quantiles, ordered_columns, range_count
 from tracework.operators.windows import centred, first_long_run
 
 # Quadratic Savitzky-Golay weights over 11 points, divided by 429.
@@ -130,12 +130,12 @@ def interpolate(curves: DataFrame, grid: DataFrame, keys: Sequence[str], x: str,
     governing segment is carried along the axis.
     """
     keys = list(keys)
-    cuts = range_cuts(curves, x)
-    seg = ordered_columns(curves.select(*keys, x, y), keys, [x], cuts=cuts, lead={"_x1": x, "_y1": y}).where(F.col("_x1").isNotNull())
+    ranges = range_count(curves)
+    seg = ordered_columns(curves.select(*keys, x, y), keys, [x], ranges=ranges, lead={"_x1": x, "_y1": y}).where(F.col("_x1").isNotNull())
     left = seg.select(*keys, F.col(x).alias("_x"), F.lit(0).alias("_side"), F.struct(F.col(x).alias("x0"), F.col(y).alias("y0"), F.col("_x1").alias("x1"), F.col("_y1").alias("y1")).alias("_s"))
     right = grid.select(*keys, F.col(x).alias("_x"), F.lit(1).alias("_side"))
     both = left.unionByName(right, allowMissingColumns=True)
-    both = ordered_columns(both, keys, ["_x", "_side"], cuts=later_cuts(cuts, both, "_x"), last={"_a": "_s"}, next={"_b": "_s"})
+    both = ordered_columns(both, keys, ["_x", "_side"], ranges=ranges, last={"_a": "_s"}, next={"_b": "_s"})
     s = F.coalesce("_a", "_b")
     val = s["y0"] + (s["y1"] - s["y0"]) / (s["x1"] - s["x0"]) * (F.col("_x") - s["x0"])
     return both.where("_side = 1").select(*keys, F.col("_x").alias(x), val.alias(y))

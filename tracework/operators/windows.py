@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracework.operators.ordered import ordered_columns, range_cuts
+from tracework.operators.ordered import ordered_columns, range_count
 from tracework.operators.quality import with_group_stats
 
 LIVE_WINDOW = 50
@@ -49,10 +49,10 @@ def tumbling(df: DataFrame, keys: Sequence[str], clock: str, width: int) -> Data
 def gap_sessions(df: DataFrame, keys: Sequence[str], order: Sequence[str], gap: int) -> DataFrame:
     """New group where the step to the previous clock value is larger than ``gap``."""
     clock = order[0]
-    cuts = range_cuts(df, clock)
-    d = ordered_columns(df, keys, order, cuts=cuts, lag={"_prev": clock})
+    ranges = range_count(df)
+    d = ordered_columns(df, keys, order, ranges=ranges, lag={"_prev": clock})
     d = d.withColumn("_new", F.when(F.col(clock) - F.col("_prev") > gap, 1).otherwise(0)).drop("_prev")
-    return ordered_columns(d, keys, order, cuts=cuts, running={"session": "_new"}).drop("_new")
+    return ordered_columns(d, keys, order, ranges=ranges, running={"session": "_new"}).drop("_new")
 
 
 def rising_edge_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -62,12 +62,12 @@ def rising_edge_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str
     Threshold is the middle of the key's trigger range; the sample before the rise
     belongs to the new segment; what follows the last edge stays open and is dropped.
     """
-    cuts = range_cuts(df, order[0])
+    ranges = range_count(df)
     d = with_group_stats(df, keys, ((F.max(trigger) + F.min(trigger)) * 0.5).alias("_thr"))
-    d = ordered_columns(d, keys, order, cuts=cuts, index="i", lead={"_next": trigger})
+    d = ordered_columns(d, keys, order, ranges=ranges, index="i", lead={"_next": trigger})
     rise = (F.col(trigger) <= F.col("_thr")) & (F.col("_next") > F.col("_thr"))
     d = d.withColumn("_edge", F.when(rise, 1).otherwise(0)).drop("_thr", "_next")
-    d = ordered_columns(d, keys, order, cuts=cuts, running={"_seg": "_edge"},
+    d = ordered_columns(d, keys, order, ranges=ranges, running={"_seg": "_edge"},
                         total={"_edges": ("sum", F.col("_edge"))})
     return d.where((F.col("_seg") >= 1) & (F.col("_seg") < F.col("_edges"))).withColumn(
         "segment", (F.col("_seg") - 1).cast("long")
@@ -167,11 +167,11 @@ def sliding_slope(df: DataFrame, keys: Sequence[str], index: str, x: str, y: str
 
 def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str) -> DataFrame:
     """Contiguous runs of true ``flag`` rows: keys, run, start, end, length (by index i)."""
-    cuts = range_cuts(df, order[0])
-    d = ordered_columns(df, keys, order, cuts=cuts, index="_i", lag={"_pf": flag})
+    ranges = range_count(df)
+    d = ordered_columns(df, keys, order, ranges=ranges, index="_i", lag={"_pf": flag})
     opens = F.col(flag) & ~F.coalesce(F.col("_pf"), F.lit(False))
     d = d.withColumn("_open", F.when(opens, 1).otherwise(0)).drop("_pf")
-    d = ordered_columns(d, keys, order, cuts=cuts, running={"run": "_open"})
+    d = ordered_columns(d, keys, order, ranges=ranges, running={"run": "_open"})
     return d.where(F.col(flag)).groupBy(*keys, "run").agg(
         F.min("_i").alias("start"), F.max("_i").alias("end"), F.count(F.lit(1)).alias("length")
     )
