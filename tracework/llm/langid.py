@@ -5,13 +5,11 @@ the parameter ``per_language``). Each task adds up n-gram counts per language in
 log-probability matrix, whose size depends on the number of languages and ``BUCKETS`` alone and which is broadcast. Scoring
 gathers matrix rows for the n-grams of a batch and adds them up per text, over the whole text.
 
-Defined results: ``und`` with score 0 for null texts and texts without a letter (or if no language could be learnt); ties go to
+Defined results: ``und`` with score 0 for null texts and texts without a letter (a character of the Unicode letter categories; number forms such as a half are none; or if no language could be learnt); ties go to
 the first language in code-point order; rows that repeat are scored alike; extra columns are kept out of the result unless asked for.
 """
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,7 +21,6 @@ from tracework.llm.text import slices
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 2000
-LETTER = re.compile(r"[^\W\d_]")
 PAD = "\0\0\0"
 
 
@@ -94,7 +91,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
         for whole in batches:
             for batch in slices(whole, "_text", 1 << 20):
                 texts = batch.column("_text").to_pylist()
-                known = [i for i, t in enumerate(texts) if langs and t and LETTER.search(t)]
+                known = [i for i, t in enumerate(texts) if langs and t and any(map(str.isalpha, t))]
                 names, scores = ["und"] * len(texts), np.zeros(len(texts))
                 if known:
                     ids, first = gram_ids([texts[i] for i in known])

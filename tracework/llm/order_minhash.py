@@ -4,8 +4,9 @@ Texts that are the same sequence of words form one class. Per class, the five-wo
 repeats count) are ranked by ``SKETCHES`` hash functions; each sketch takes the ``TAKEN`` smallest and keeps them in text order, so
 it is equal only where the texts agree in content and order. Classes are candidates if two sketches agree: with two
 shingles per sketch and ten sketches, a pair of similarity 0.8 is missed with probability 7e-4 (0.64 per sketch), one of 0.85 with
-7e-5. Candidates of a bucket are linked through a pivot chosen by a hash of class and bucket, so no pairs inside a bucket are
-listed; members that turn out unlike the pivot meet a second pivot of their own. Buckets that still hold several groups (template
+7e-5. Candidates of a bucket are linked through a pivot, so no pairs inside a bucket are listed. The pivot is the member that one draw
+over all classes puts first, so the many buckets that a family of texts shares agree on few pivots, and a member is compared with those
+few instead of one per bucket. Members that turn out unlike the pivot meet a second one, from a draw of its own. Buckets that still hold several groups (template
 pages) are settled exactly: of each member at most the rarest fifth of its shingles is kept, rarest among these members first, and members
 of different groups that share one of them are compared. Two texts of similarity 0.8 always share one, so no pair of a bucket is lost.
 
@@ -191,9 +192,9 @@ def _word_ids(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return with_texts(docs, nodes, "inner").mapInArrow(cut, "k binary, ids binary")
 
 
-def _pivots(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of each bucket with its pivot, and the bucket rows with their pivot."""
-    draw = F.xxhash64("k", "key")
+def _pivots(members: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs of each bucket with its pivot, and the bucket rows with their pivot: the first in the draw of ``salt``."""
+    draw = F.xxhash64("k", F.lit(salt))
     first = members.groupBy("key").agg(F.min(F.struct(draw.alias("r"), "k"))["k"].alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
     # written first: only a join of two plain shuffles has its crowded keys split by adaptive execution
     rows = members.join(stored(first, "pivots"), "key").where("k <> pivot")
@@ -250,7 +251,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     reps = rows.groupBy("k").agg(F.min(place).alias("first"), F.first("keys").alias("keys"))
     reps = stored(reps, "representatives")
     members = stored(reps.where("keys is not null").select("k", F.explode(F.array_distinct("keys")).alias("key")), "buckets")
-    pairs, bucket = _pivots(members)
+    pairs, bucket = _pivots(members, 0)
     pairs = stored(pairs, "candidates")
     nodes = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
     texts = stored(_word_ids(docs, reps.join(nodes, "k").select("k", "first._id", "first._h")), "words")
@@ -258,7 +259,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     unlike = checked.where("not ok").select("a", "b")
     # members unlike their pivot meet a pivot of their own
     again = bucket.join(unlike, (F.least("k", "pivot") == F.col("a")) & (F.greatest("k", "pivot") == F.col("b")), "left_semi").select("k", "key")
-    more, _ = _pivots(again)
+    more, _ = _pivots(again, 1)
     more = stored(_verified(more.join(checked, ["a", "b"], "left_anti"), texts), "checked")
     checked = checked.union(more)
     rest = _remaining(bucket, checked.where("ok").select("a", "b"), texts).join(checked, ["a", "b"], "left_anti")

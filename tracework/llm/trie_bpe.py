@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -189,16 +190,24 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@dataclass(frozen=True)
+class Special:
+    """A special token written out in a text; never equal to a word of the same letters."""
+
+    token: str
+
+
 class Encoder:
     """Encodes texts batch by batch; words met before are looked up. The cache is emptied at ``CACHE_WORDS``."""
 
     def __init__(self, path: str):
         self.v = vocabulary(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.printed: dict[str, str] = {}
+        self.written = {t: Special(t) for t in self.v.special}
+        self.known: dict[str | Special, tuple[int, ...]] = {}
+        self.printed: dict[str | Special, str] = {}
 
-    def words(self, text: str) -> list[str]:
-        """Words of a text in order; special tokens stand for themselves, marked by a leading NUL."""
+    def words(self, text: str) -> list[str | Special]:
+        """Words of a text in order; special tokens written out in it are of the type ``Special``."""
         v = self.v
         if v.plain and "<|" not in text:
             lower = text.lower()
@@ -206,25 +215,25 @@ class Encoder:
                 return COMMON.findall(lower)
         if v.specials is None or not v.specials.search(text):
             return v.split.findall(v.clean(text))
-        out: list[str] = []
+        out: list[str | Special] = []
         for part in v.specials.split(text):
             if part in v.special:
-                out.append("\0" + part)
+                out.append(self.written[part])
             elif part:
                 out.extend(v.split.findall(v.clean(part)))
         return out
 
-    def learn(self, split: list[list[str]]) -> None:
+    def learn(self, split: list[list[str | Special]]) -> None:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
             self.printed.clear()
         new = set().union(*split) - self.known.keys()
-        spelled = {self.v.spell(w): w for w in new if w[0] != "\0"}
+        spelled = {self.v.spell(w): w for w in new if type(w) is str}
         for s, ids in self.v.walk(sorted(spelled)).items():
             self.known[spelled[s]] = ids
         for w in new:
-            if w[0] == "\0":
-                self.known[w] = (self.v.special[w[1:]],)
+            if type(w) is Special:
+                self.known[w] = (self.v.special[w.token],)
             self.printed[w] = " ".join(map(str, self.known[w]))
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
@@ -273,7 +282,7 @@ def digest(df: DataFrame, path: str, carry: tuple[str, ...] = ("doc_id",)) -> Da
 
     def run(batches):
         coder = Encoder(path)
-        spelled: dict[str, str] = {}
+        spelled: dict[str | Special, str] = {}
         names = coder.v.names
         for whole in batches:
             for batch in slices(whole, "_text", 1 << 20):
