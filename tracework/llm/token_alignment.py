@@ -22,6 +22,7 @@ import json
 import os
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,12 @@ from pyspark.sql import functions as F
 
 from tracework.llm.repeats import stored
 from tracework.llm.text import PIECE, slices
-from tracework.llm.token_counts import byte_symbols
+from tracework.llm.token_counts import COMMON, UNCOMMON, byte_symbols
 
 #: Bytes of text in a block, and in one call of the tokenizers.
 BLOCK, SLICE = 2 * PIECE, PIECE // 2
+#: Words a worker remembers; the older half goes when they are more.
+CACHE_WORDS = 250_000
 #: A text's number and a pair's code share one 64-bit sort key.
 CODE_BITS = 40
 MEASURES = ("n_a", "n_b", "n_groups", "n_links")
@@ -61,6 +64,7 @@ class Aligner:
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
         self.width = len(self.bytes_b)
+        self.known: dict[str, list[int]] = {}
         # ids followed by each separator: A inside and at the end of its half group, then B likewise
         self.printed = [f"{i}{s}" for n, marks in ((len(self.bytes_a), ",|"), (self.width, ",;")) for s in marks for i in range(n)]
 
@@ -69,16 +73,28 @@ class Aligner:
             return bytes([int(self.b.id_to_piece(i)[3:5], 16)])
         return self.b.id_to_piece(i).replace("▁", " ").encode("utf-8")
 
+    def spelled(self, ids_a: list[int], ids_b: list[int], want: bytes) -> bool:
+        return b"".join([self.bytes_a[x] for x in ids_a]) == want and b"".join([self.bytes_b[x] for x in ids_b]) == want
+
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        """A's ids of space + text. Its splitter cuts texts into words that are encoded apart, so words met before are looked up; texts of
+        uncommon characters are encoded whole."""
+        split = [None if UNCOMMON.search(t) else COMMON.findall(" " + t) for t in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+        known = self.known
+        new = list(set().union(*[words for words in split if words]).difference(known))
+        if new:
+            known.update(zip(new, [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)], strict=True))
+        return [self.a.encode(" " + t, add_special_tokens=False).ids if words is None else list(chain.from_iterable([known[w] for w in words])) for t, words in zip(texts, split, strict=True)]
+
     def encode(self, texts: list[str]) -> tuple[list[int], list[list[int]], list[list[int]]]:
         """Which texts both vocabularies spell as space + text, and those texts' ids."""
         filled = [i for i, t in enumerate(texts) if t]
         some = [texts[i] for i in filled]
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)]
-        ids_b = self.b.encode(some, num_threads=1) if some else []
         good, out_a, out_b = [], [], []
-        for i, t, a, b in zip(filled, some, ids_a, ids_b, strict=True):
-            want = b" " + t.encode("utf-8")
-            if b"".join([self.bytes_a[x] for x in a]) == want and b"".join([self.bytes_b[x] for x in b]) == want:
+        for i, a, b in zip(filled, self.encode_a(some), self.b.encode(some, num_threads=1) if some else [], strict=True):
+            if self.spelled(a, b, b" " + texts[i].encode("utf-8")):
                 good.append(i)
                 out_a.append(a)
                 out_b.append(b)
@@ -92,11 +108,13 @@ class Aligner:
         good, ids_a, ids_b = self.encode(texts)
         if not good:
             return measures, digests, codes, times
-        a, b = (np.fromiter((x for ids in side for x in ids), np.int64) for side in (ids_a, ids_b))
+        a, b = (np.fromiter(chain.from_iterable(side), np.int64) for side in (ids_a, ids_b))
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         n_a, n_b = (np.array([len(x) for x in side]) for side in (ids_a, ids_b))
         last = ends_a[np.cumsum(n_a) - 1]  # where each text ends
-        cuts, common = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+        ends = np.sort(np.concatenate([ends_a, ends_b]))
+        repeated = ends[1:] == ends[:-1]
+        cuts, common = ends[np.append(True, ~repeated)], ends[1:][repeated]
         measures["n_a"][good], measures["n_b"][good] = n_a, n_b
         measures["n_groups"][good] = np.diff(np.searchsorted(common, last, "right"), prepend=0)
         measures["n_links"][good] = np.diff(np.searchsorted(cuts, last, "right"), prepend=0)
