@@ -47,7 +47,7 @@ def test_isolation_forest(gauss):
 
 def test_autoencoder_learns(gauss):
     _, df = gauss
-    s = m.autoencoder(df, "x", 8, REF(), epochs=3)
+    s = m.autoencoder(df, "x", 8, REF(), epochs=10)
     assert auc(s) > 0.9
 
 

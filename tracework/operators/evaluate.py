@@ -104,16 +104,17 @@ def fuse(df: DataFrame, force: str = "force_z", punch: str = "punch_z", sheet: s
 
 
 def ablation(features: DataFrame, experiments: Mapping[str, Sequence[str]], columns_of: Mapping[str, Sequence[str]],
-             score, state: str, label: str, ref: str, test: str) -> DataFrame:
-    """Run ``score(df, columns) -> df with column score`` per channel subset and compare all of them."""
+             score, state: str, label: str, ref: str, test: str, scores: Sequence[str] = ("score",)) -> DataFrame:
+    """Run ``score(df, columns) -> df with the columns scores`` (one per model) per channel subset and compare all of them."""
     parts = []
     for name, channels in experiments.items():
         cols = [c for ch in channels for c in columns_of[ch]]
-        parts.append(score(features, cols).select(state, label, F.lit(name).alias("experiment"), F.lit(len(cols)).alias("features"), "score"))
+        each = F.explode(F.array(*[F.struct(F.lit(s).alias("model"), F.col(s).cast("double").alias("score")) for s in scores]))
+        parts.append(score(features, cols).select(state, label, F.lit(name).alias("experiment"), F.lit(len(cols)).alias("features"), each.alias("_e")).select("*", "_e.*").drop("_e"))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    keys = ["experiment", "features"]
+    keys = ["experiment", "features", "model"]
     means = rows.groupBy(*keys).agg(F.avg(F.when(F.col(state) == ref, F.col("score"))).alias("ref_mean"),
                                     F.avg(F.when(F.col(state) == test, F.col("score"))).alias("test_mean"))
     return areas(rows, keys, label, "score").join(means, keys)

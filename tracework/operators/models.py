@@ -2,27 +2,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import PCA, PolynomialExpansion, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
+from tracework.operators.estimators import PCA_SHARE, SUBSAMPLE, TREES, AutoEncoder, IsolationForest, KernelFeatures, PcaReconstruction
 from tracework.operators.ordered import ordered_columns
 from tracework.operators.quality import hash_order
-from tracework.session import materialise
 
-PCA_SHARE = 0.95
-TREES, SUBSAMPLE = 300, 256
+# The settings of the reference experiments (a depth without limit is Spark's greatest, 30)
+GRID_TREES, GRID_DEPTHS, GRID_ROWS, FOLDS = (100, 200, 300), (30, 10, 20), (2, 5, 10), 5
+SHARES, CURVE_TREES = tuple(i / 10 for i in range(1, 11)), (10, 50, 100, 200)
+#: Models fitted at a time.
+PARALLEL = 4
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
 
 
 # --- preparation -----------------------------------------------------------------------------
@@ -77,16 +82,8 @@ def pca_fit(df: DataFrame, x: str, dims: int, ref: Column, share: float = PCA_SH
 
 
 def pca_reconstruction(df: DataFrame, x: str, dims: int, ref: Column, share: float = PCA_SHARE) -> DataFrame:
-    """Mean squared reconstruction error with the components that explain ``share`` of the variance.
-
-    Components are orthonormal and the reference mean is zero after scaling, so the error
-    is the squared length minus the squared projection.
-    """
-    z, model, k = pca_fit(df, x, dims, ref, share)
-    p = F.slice(vector_to_array(F.col("pc")), 1, k)
-    sq = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v)
-    err = F.greatest((sq(F.col("z")) - sq(p)) / dims, F.lit(0.0))
-    return model.transform(z).withColumn("score", err).drop("features", "pc", "z")
+    """Mean squared reconstruction error with the components that explain ``share`` of the variance of the reference rows."""
+    return PcaReconstruction(inputCol=x, share=share).fit(df.where(ref)).transform(df)
 
 
 def pca_2d(df: DataFrame, x: str, dims: int, ref: Column) -> DataFrame:
@@ -141,141 +138,13 @@ def forest(df: DataFrame, id_col: str, x: str, trees: int = TREES, sample: int =
     return chosen.groupBy("tree").applyInPandas(grow, "tree int, node int, feature int, cut double, path double")
 
 
-def isolation_scores(df: DataFrame, x: str, nodes: DataFrame, sample: int = SUBSAMPLE) -> DataFrame:
-    """2^(-mean path / c(sample)) per row: higher means more anomalous.
-
-    The forest is a model of fixed size (trees x 511 nodes) and is shipped to the tasks.
-    """
-    pdf = nodes.toPandas()
-    trees = int(pdf["tree"].nunique())
-    width = int(pdf["node"].max()) + 1
-    slot = pdf["tree"].rank(method="dense").astype(int).to_numpy() - 1
-    feature = np.full((trees, width), -1, dtype=np.int32)
-    cut, path = np.zeros((trees, width)), np.zeros((trees, width))
-    node = pdf["node"].to_numpy()
-    feature[slot, node], cut[slot, node], path[slot, node] = pdf["feature"], pdf["cut"], pdf["path"]
-    norm = float(_expected_depth(sample))
-    model = df.sparkSession.sparkContext.broadcast((feature, cut, path))
-
-    @F.pandas_udf(DoubleType())
-    def run(s: pd.Series) -> pd.Series:
-        feat, cuts, paths = model.value
-        data = np.stack(s.to_numpy())
-        total = np.zeros(len(data))
-        rows = np.arange(len(data))
-        for t in range(len(feat)):
-            at = np.zeros(len(data), dtype=np.int64)
-            while True:
-                c = feat[t, at]
-                live = c >= 0
-                if not live.any():
-                    break
-                step = 2 * at + 1 + (data[rows, np.maximum(c, 0)] >= cuts[t, at])
-                at = np.where(live, step, at)
-            total += paths[t, at]
-        return pd.Series(np.exp2(-total / len(feat) / norm))
-
-    return df.withColumn("score", run(x))
-
-
 def isolation_forest(df: DataFrame, id_col: str, x: str, ref: Column, trees: int = TREES, seed: int = 42) -> DataFrame:
-    z = scale_arrays(df, x, ref)
-    train = z.where(ref)
-    size = min(SUBSAMPLE, train.count())
-    nodes = forest(train, id_col, "z", trees, size, seed)
-    return isolation_scores(z, "z", nodes, size).drop("z")
-
-
-HIDDEN = (64, 32, 8, 32, 64)
+    return IsolationForest(inputCol=x, idCol=id_col, trees=trees, seed=seed).fit(df.where(ref)).transform(df)
 
 
-def _init(dims: Sequence[int], seed: int):
-    rng = np.random.default_rng(seed)
-    return [(rng.uniform(-1, 1, (a, b)) / np.sqrt(a), rng.uniform(-1, 1, b) / np.sqrt(a)) for a, b in zip(dims, dims[1:])]
-
-
-def _forward(layers, x):
-    acts = [x]
-    for i, (w, b) in enumerate(layers):
-        x = x @ w + b
-        if i < len(layers) - 1:
-            x = np.maximum(x, 0)
-        acts.append(x)
-    return acts
-
-
-_SUMS = "slot int, n long, g array<double>"
-
-
-def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"slot": [int(pdf["slot"].iloc[0])], "n": [int(pdf["n"].sum())], "g": [np.stack(pdf["g"].to_numpy()).sum(0).tolist()]})
-
-
-def autoencoder(df: DataFrame, x: str, dims: int, ref: Column, epochs: int = 120, lr: float = 1e-3,
-                batches: int = 16, seed: int = 42) -> DataFrame:
-    """Reconstruction error of a 64-32-8-32-64 network, trained synchronously across partitions.
-
-    Per epoch one Spark job returns a gradient sum per mini-batch slot (rows are assigned to
-    ``batches`` slots by hash); Adam steps run on these small sums.  Weights have a fixed size.
-    """
-    z = scale_arrays(df, x, ref)
-    spark = df.sparkSession
-    train = materialise(z.where(ref).select("z").withColumn("_b", F.pmod(F.xxhash64("z"), F.lit(batches)).cast("int")), "train")
-    layers = _init((dims, *HIDDEN, dims), seed)
-    shapes = [a.shape for wb in layers for a in wb]
-    flat = np.concatenate([a.ravel() for wb in layers for a in wb])
-
-    def unpack(v):
-        out, at = [], 0
-        for s in shapes:
-            n = int(np.prod(s))
-            out.append(v[at:at + n].reshape(s))
-            at += n
-        return list(zip(out[::2], out[1::2]))
-
-    m, v = np.zeros_like(flat), np.zeros_like(flat)
-    step = 0
-    for _ in range(epochs):
-        weights = spark.sparkContext.broadcast(flat)
-
-        def gradients(frames):
-            net = unpack(weights.value)
-            sums: dict[int, list] = {}
-            for pdf in frames:
-                for slot, part in pdf.groupby("_b"):
-                    x = np.stack(part["z"].to_numpy())
-                    acts = _forward(net, x)
-                    delta = 2 * (acts[-1] - x) / x.shape[1]
-                    grads = []
-                    for i in range(len(net) - 1, -1, -1):
-                        grads = [acts[i].T @ delta, delta.sum(0)] + grads
-                        if i:
-                            delta = (delta @ net[i][0].T) * (acts[i] > 0)
-                    g = np.concatenate([a.ravel() for a in grads])
-                    old = sums.setdefault(int(slot), [0, np.zeros_like(g)])
-                    old[0] += len(x)
-                    old[1] += g
-            yield pd.DataFrame([(s, n, g.tolist()) for s, (n, g) in sums.items()], columns=["slot", "n", "g"])
-
-        # partial sums per (slot, lane), then per slot: the driver gets one weight-sized row per slot
-        got = train.mapInPandas(gradients, "slot int, n long, g array<double>").withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(64)))
-        per = got.groupBy("slot", "lane").applyInPandas(_add_up, _SUMS).groupBy("slot").applyInPandas(_add_up, _SUMS)
-        total = {r["slot"]: (r["n"], np.asarray(r["g"])) for r in per.collect()}
-        for slot in sorted(total):
-            n, g = total[slot]
-            step += 1
-            g = g / n
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            flat = flat - lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        weights.unpersist()
-    final = spark.sparkContext.broadcast(flat)
-
-    @F.pandas_udf(DoubleType())
-    def error(s: pd.Series) -> pd.Series:
-        x = np.stack(s.to_numpy())
-        return pd.Series(((_forward(unpack(final.value), x)[-1] - x) ** 2).mean(axis=1))
-
-    return z.withColumn("score", error("z")).drop("z")
+def autoencoder(df: DataFrame, x: str, dims: int, ref: Column, epochs: int = 120, lr: float = 1e-3, seed: int = 42) -> DataFrame:
+    """Reconstruction error of a 64-32-8-32-64 network trained on the reference rows."""
+    return AutoEncoder(inputCol=x, epochs=epochs, rate=lr, seed=seed).fit(df.where(ref)).transform(df)
 
 
 # --- classifiers -----------------------------------------------------------------------------
@@ -292,11 +161,12 @@ def forest_summary(model, cols: Sequence[str], spark) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double, nodes long, depth int")
 
 
-def grid_search(df: DataFrame, trees: Sequence[int], depths: Sequence[int], min_rows: Sequence[int], folds: int = 5, seed: int = 42) -> DataFrame:
+def grid_search(df: DataFrame, trees: Sequence[int] = GRID_TREES, depths: Sequence[int] = GRID_DEPTHS, min_rows: Sequence[int] = GRID_ROWS, folds: int = FOLDS,
+                seed: int = 42) -> DataFrame:
     """Cross-validated accuracy for every combination."""
     rf = forest_classifier(seed=seed)
     grid = ParamGridBuilder().addGrid(rf.numTrees, trees).addGrid(rf.maxDepth, depths).addGrid(rf.minInstancesPerNode, min_rows).build()
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, numFolds=folds, seed=seed, parallelism=4,
+    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, numFolds=folds, seed=seed, parallelism=PARALLEL,
                         evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"))
     model = cv.fit(df.persist())
     df.unpersist()
@@ -313,66 +183,69 @@ def folds(df: DataFrame, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(k)).cast("int"))
 
 
-def cross_val(df: DataFrame, id_col: str, k: int = 5, **params) -> DataFrame:
+def _at_once(df: DataFrame, work, tasks: Sequence) -> list:
+    """Fit several models at a time; each fit is a chain of small jobs that leaves most cores idle."""
+    with ThreadPool(PARALLEL) as pool:
+        return pool.map(inheritable_thread_target(df.sparkSession)(work), tasks)
+
+
+def cross_val(df: DataFrame, id_col: str, k: int = FOLDS, **params) -> DataFrame:
     d = folds(df, id_col, k).persist()
-    rows = []
-    for i in range(k):
+
+    def one(i: int):
         model = forest_classifier(**params).fit(d.where(F.col("fold") != i))
-        rows.append((i, _accuracy(model.transform(d.where(F.col("fold") == i)))))
+        return i, _accuracy(model.transform(d.where(F.col("fold") == i)))
+
+    rows = _at_once(df, one, range(k))
     d.unpersist()
     return df.sparkSession.createDataFrame(rows, "fold int, accuracy double")
 
 
-def learning_curve(df: DataFrame, id_col: str, shares: Sequence[float], k: int = 5, **params) -> DataFrame:
-    """Train and test accuracy for growing parts of the training folds (parts chosen by hash)."""
+def learning_curve(df: DataFrame, id_col: str, shares: Sequence[float] = SHARES, k: int = FOLDS, **params) -> DataFrame:
+    """Mean and deviation over ``k`` folds of train and test accuracy, for growing parts of the training folds (chosen by hash)."""
     d = folds(df, id_col, k).withColumn("_u", F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(1 << 20)) / float(1 << 20)).persist()
-    test, pool = d.where("fold = 0"), d.where("fold <> 0")
-    rows = []
-    for s in shares:
-        part = pool.where(F.col("_u") < s)
+
+    def one(task: tuple[float, int]):
+        share, i = task
+        part, test = d.where((F.col("fold") != i) & (F.col("_u") < share)), d.where(F.col("fold") == i)
         model = forest_classifier(**params).fit(part)
-        rows.append((float(s), part.count(), _accuracy(model.transform(part)), _accuracy(model.transform(test))))
+        return float(share), i, part.count(), _accuracy(model.transform(part)), _accuracy(model.transform(test))
+
+    rows = _at_once(df, one, [(s, i) for s in shares for i in range(k)])
     d.unpersist()
-    return df.sparkSession.createDataFrame(rows, "share double, rows long, train_accuracy double, test_accuracy double")
+    each = df.sparkSession.createDataFrame(rows, "share double, fold int, rows long, train double, test double")
+    return each.groupBy("share").agg(F.avg("rows").alias("rows"), F.avg("train").alias("train_accuracy"), F.stddev_pop("train").alias("train_std"),
+                                     F.avg("test").alias("test_accuracy"), F.stddev_pop("test").alias("test_std"))
 
 
-def validation_curve(df: DataFrame, id_col: str, trees: Sequence[int], k: int = 5, **params) -> DataFrame:
+def validation_curve(df: DataFrame, id_col: str, trees: Sequence[int] = CURVE_TREES, k: int = FOLDS, **params) -> DataFrame:
+    """Mean and deviation over ``k`` folds of train and test accuracy by number of trees."""
     d = folds(df, id_col, k).persist()
-    test, pool = d.where("fold = 0"), d.where("fold <> 0")
-    rows = []
-    for n in trees:
-        model = forest_classifier(trees=n, **params).fit(pool)
-        rows.append((n, _accuracy(model.transform(pool)), _accuracy(model.transform(test))))
-    d.unpersist()
-    return df.sparkSession.createDataFrame(rows, "trees int, train_accuracy double, test_accuracy double")
 
+    def one(task: tuple[int, int]):
+        n, i = task
+        pool, test = d.where(F.col("fold") != i), d.where(F.col("fold") == i)
+        model = forest_classifier(trees=n, **params).fit(pool)
+        return n, i, _accuracy(model.transform(pool)), _accuracy(model.transform(test))
 
-def fourier_features(df: DataFrame, x: str, dims: int, width: int, gamma: float, seed: int, out: str) -> DataFrame:
-    """Random cosine features approximating the radial kernel."""
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, np.sqrt(2 * gamma), (dims, width)), rng.uniform(0, 2 * np.pi, width)
+    rows = _at_once(df, one, [(n, i) for n in trees for i in range(k)])
+    d.unpersist()
+    each = df.sparkSession.createDataFrame(rows, "trees int, fold int, train double, test double")
+    return each.groupBy("trees").agg(F.avg("train").alias("train_accuracy"), F.stddev_pop("train").alias("train_std"), F.avg("test").alias("test_accuracy"), F.stddev_pop("test").alias("test_std"))
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def run(s: pd.Series) -> pd.Series:
-        z = np.sqrt(2 / width) * np.cos(np.stack(s.to_numpy()) @ w + b)
-        return pd.Series(list(z))
 
-    return df.withColumn(out, array_to_vector(run(vector_to_array(F.col(x)))))
+def svm_pipeline(kernel: str = "linear", reg: float = 0.01, iters: int = 50, width: int = 1024, seed: int = 42) -> Pipeline:
+    """Support vector classifier on ``features``, ``label`` and ``weight``: scaling, kernel features (rbf, or poly of degree 3 over all values) and
+    a linear machine.  One pipeline, so what ``fit`` returns can be saved, loaded and applied to new rows."""
+    stages = [StandardScaler(inputCol="features", outputCol="scaled", withMean=True)]
+    if kernel != "linear":
+        stages.append(KernelFeatures(inputCol="scaled", outputCol="expanded", kernel=kernel, width=width, seed=seed))
+    return Pipeline(stages=[*stages, LinearSVC(featuresCol="scaled" if kernel == "linear" else "expanded", labelCol="label", weightCol="weight", regParam=reg, maxIter=iters)])
 
 
-def svm(df: DataFrame, kernel: str = "linear", reg: float = 0.01, iters: int = 50, dims: int = 0) -> DataFrame:
-    """Fit and apply a support vector classifier; df has features, label, weight."""
-    scaled = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
-    stages = [scaled]
-    if kernel == "poly":
-        stages += [PolynomialExpansion(degree=3, inputCol="scaled", outputCol="expanded")]
-    elif kernel == "rbf":
-        model = scaled.fit(df)
-        df = fourier_features(model.transform(df), "scaled", dims, 256, 1.0 / dims, 42, "expanded").drop("scaled")
-        stages = []
-    col = "scaled" if kernel == "linear" else "expanded"
-    stages.append(LinearSVC(featuresCol=col, labelCol="label", weightCol="weight", regParam=reg, maxIter=iters))
-    return Pipeline(stages=stages).fit(df).transform(df)
+def svm(train: DataFrame, test: DataFrame, kernel: str = "linear", **params) -> DataFrame:
+    """``test`` with the predictions of a machine fitted on ``train``."""
+    return svm_pipeline(kernel, **params).fit(train).transform(test)
 
 
 def smote(df: DataFrame, id_col: str, x: str, label: str, minority: int, copies: int, k: int = 5, seed: int = 42) -> DataFrame:
@@ -397,30 +270,50 @@ def smote(df: DataFrame, id_col: str, x: str, label: str, minority: int, copies:
     return j.select(F.col("query_id").alias(id_col), F.col("rank").alias("copy"), F.lit(minority).alias(label), mix.alias(x))
 
 
-def auto_evaluate(df: DataFrame, target: str, id_col: str, regression: bool, seed: int = 42) -> DataFrame:
-    """Random forest on any table: 80/20 split, accuracy or R2 and MSE."""
-    feats, stages = [], []
-    for name, t in df.dtypes:
-        if name in (target, id_col):
-            continue
-        if t == "string":
-            stages.append(StringIndexer(inputCol=name, outputCol=f"{name}_ix", handleInvalid="keep"))
-            feats.append(f"{name}_ix")
-        elif t in ("int", "bigint", "double", "float", "smallint", "tinyint", "boolean"):
-            feats.append(name)
-    cols = dict(df.dtypes)
-    if not regression:
-        stages.append(StringIndexer(inputCol=target, outputCol="label", handleInvalid="keep"))
-    elif target != "label":
-        df = df.withColumn("label", F.col(target).cast("double"))
-    stages.append(VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="skip"))
-    u = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(100))
+def encode_table(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Number columns for any table: (``df`` with them, their names).  Statistics come from ``train``; no row is left out.
+
+    Numbers keep their value, or the mean of ``train`` where it is missing or not finite.  A string of any number of categories becomes
+    the logarithm of its frequency in ``train`` (0 if unseen) and a position that its hash gives it; both by joins, nothing is collected.
+    Every column has an indicator of missing values.
+    """
+    types, names = dict(df.dtypes), []
+    numbers = [c for c in cols if types[c] in NUMBERS or types[c].startswith("decimal")]
+    number = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))  # noqa: E731 - null, NaN and infinite values are missing
+    means = train.agg(F.struct(F.lit(0).alias("_"), *[F.avg(number(c)).alias(c) for c in numbers])).scalar()
+    out = df.withColumn("_means", means)
+    for c in cols:
+        if c in numbers:
+            out = out.withColumn(f"{c}_n", F.coalesce(number(c), F.col("_means")[c], F.lit(0.0))).withColumn(f"{c}_missing", number(c).isNull().cast("double"))
+            names += [f"{c}_n", f"{c}_missing"]
+        elif types[c] == "string":
+            counts = train.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_category")).agg(F.log(F.count(F.lit(1)) + 1.0).alias(f"{c}_often"))
+            out = out.join(counts, F.col(c) == F.col("_category"), "left").drop("_category").withColumn(f"{c}_often", F.coalesce(f"{c}_often", F.lit(0.0)))
+            out = out.withColumn(f"{c}_place", F.pmod(F.xxhash64(c), F.lit(1 << 20)) / float(1 << 20)).withColumn(f"{c}_missing", F.col(c).isNull().cast("double"))
+            names += [f"{c}_often", f"{c}_place", f"{c}_missing"]
+    return out.drop("_means"), names
+
+
+def auto_evaluate(df: DataFrame, target: str, id_col: str, regression: bool, seed: int = 42, trees: int = 100) -> DataFrame:
+    """Random forest on any table: 80/20 split, accuracy or R2 and MSE, and the rows used.
+
+    All rows with a target take part, whatever is missing in their other columns and however many categories those have.
+    """
+    test = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(100)) >= 80
+    rows = df.where(F.col(target).isNotNull()).withColumn("_test", test)
+    coded, names = encode_table(rows.where("not _test"), rows, [c for c in df.columns if c not in (target, id_col)])
+    stages = [VectorAssembler(inputCols=names, outputCol="features")]
+    if regression:
+        coded = coded.withColumn("label", F.col(target).cast("double"))
+    else:
+        stages.insert(0, StringIndexer(inputCol=target, outputCol="label", handleInvalid="keep"))
     model_cls = RandomForestRegressor if regression else RandomForestClassifier
-    est = model_cls(labelCol="label", featuresCol="features", numTrees=50, seed=seed, maxBins=128)
-    assert target in cols
-    model = Pipeline(stages=[*stages, est]).fit(df.where(u < 80))
-    pred = model.transform(df.where(u >= 80))
+    coded = coded.persist()
+    model = Pipeline(stages=[*stages, model_cls(labelCol="label", featuresCol="features", numTrees=trees, seed=seed)]).fit(coded.where("not _test"))
+    pred = model.transform(coded.where("_test"))
     ev = (lambda m: RegressionEvaluator(metricName=m).evaluate(pred)) if regression else (
         lambda m: MulticlassClassificationEvaluator(metricName=m).evaluate(pred))
-    rows = [(m, float(ev(m))) for m in (("r2", "mse") if regression else ("accuracy",))]
-    return df.sparkSession.createDataFrame(rows, "metric string, value double")
+    found = [(m, float(ev(m))) for m in (("r2", "mse") if regression else ("accuracy",))]
+    found += [("train_rows", float(coded.where("not _test").count())), ("test_rows", float(pred.count()))]
+    coded.unpersist()
+    return df.sparkSession.createDataFrame(found, "metric string, value double")

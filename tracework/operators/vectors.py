@@ -110,6 +110,13 @@ def heatmap(scored: DataFrame, image: str) -> DataFrame:
     return d.withColumn("heat", F.when(span > 1e-12, shifted / F.when(span > 0, span)).otherwise(shifted)).drop("_lo", "_hi")
 
 
+def histogram(x: str, low: float, high: float, bins: int):
+    """Share of the array's values in each of ``bins`` equal parts of [low, high]; values outside count in the end parts."""
+    place = lambda v: F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((v - low) / (high - low) * bins).cast("int")))
+    slots = F.transform(x, place)
+    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(slots, lambda s: s == b)) / F.size(x))
+
+
 def embed(df: DataFrame, content: str, dims: int, model) -> DataFrame:
     """Apply a pluggable ``model(list of inputs) -> array (n, dims)`` in Arrow batches."""
     schema = StructType([*df.schema.fields, StructField("embedding", ArrayType(FloatType()))])

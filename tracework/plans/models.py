@@ -47,47 +47,43 @@ def _(t):
 
 @query("ml_autoencoder")
 def _(t):
-    return outputs(m.autoencoder(states(t), "x", 64, _ref(), epochs=15).select("vec_id", "state", "score"))
+    return outputs(m.autoencoder(states(t), "x", 64, _ref()).select("vec_id", "state", "score"))
 
 
 @query("ml_random_forest")
 def _(t):
     d = labelled(t)
-    model = m.forest_classifier(trees=30, depth=8).fit(d)
+    model = m.forest_classifier().fit(d)
     return outputs(m.forest_summary(model, DIMS, t.spark))
 
 
 @query("ml_grid_search")
 def _(t):
-    return outputs(m.grid_search(labelled(t), [5, 10], [3, 5], [1, 4], folds=2))
+    return outputs(m.grid_search(labelled(t)))
 
 
 @query("ml_cross_val")
 def _(t):
-    return outputs(m.cross_val(labelled(t), "vec_id", 5, trees=10, depth=5))
+    return outputs(m.cross_val(labelled(t), "vec_id"))
 
 
 @query("ml_learning_curve")
 def _(t):
-    return outputs(m.learning_curve(labelled(t), "vec_id", [0.25, 0.5, 0.75, 1.0], trees=10, depth=5))
+    return outputs(m.learning_curve(labelled(t), "vec_id"))
 
 
 @query("ml_validation_curve")
 def _(t):
-    return outputs(m.validation_curve(labelled(t), "vec_id", [10, 50, 100, 200], depth=5))
+    return outputs(m.validation_curve(labelled(t), "vec_id"))
 
 
 for _kernel in ("linear", "rbf", "poly"):
     def _make(kernel):
         @query("ml_svm" if kernel == "linear" else f"ml_svm_{kernel}")
         def _(t):
-            d = labelled(t)
-            if kernel == "poly":  # cubic terms of eight averaged blocks of the vector
-                blocks = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.aggregate(
-                    F.slice(F.col("embedding"), b * 8 + 1, 8), F.lit(0.0), lambda s, x: s + x.cast("double")))
-                short = t.embeddings.select("vec_id", array_to_vector(blocks).alias("features"))
-                d = d.drop("features").join(short, "vec_id")
-            return m.svm(d, kernel, iters=20, dims=64).select("vec_id", "label", "prediction")
+            """Fitted on four fifths of the vectors, applied to the others."""
+            d = m.folds(labelled(t), "vec_id")
+            return m.svm(d.where("fold <> 0"), d.where("fold = 0"), kernel).select("vec_id", "label", "prediction")
     _make(_kernel)
 
 
@@ -99,32 +95,40 @@ def _(t):
     return s.select("vec_id", "copy", F.posexplode("x").alias("k", "x")).groupBy("vec_id", "copy").agg(F.round(F.sum("x"), 6).alias("total"))
 
 
+def _scores(d, x, size):
+    """The vectors with all three model scores of one array column."""
+    scored = m.pca_reconstruction(d, x, size, _ref()).withColumnRenamed("score", "pca")
+    scored = m.isolation_forest(scored, "vec_id", x, _ref()).withColumnRenamed("score", "isolation")
+    return m.autoencoder(scored, x, size, _ref()).withColumnRenamed("score", "autoencoder")
+
+
 @query("ev_ablation")
 def _(t):
-    """Eight channel subsets (blocks of 16 positions), reconstruction score per subset, one comparison table."""
+    """Eight channel subsets (blocks of 16 positions), all three models each, one comparison table."""
     ch = {f"ch{c}": list(range(c * 16, (c + 1) * 16)) for c in range(4)}
     names = list(ch)
-    subsets = {"all": names, "front": names[:2], "back": names[2:], "outer": [names[0], names[3]], **{n: [n] for n in names}}
+    subsets = {"all": names, "without_last": names[:3], "front": names[:2], "back": names[2:], **{n: [n] for n in names}}
+    models = ["pca", "isolation", "autoencoder"]
 
     def score(d, positions):
-        part = d.withColumn("part", F.array(*[F.col("x")[p] for p in positions]))
-        return m.pca_reconstruction(part, "part", len(positions), _ref())
+        return _scores(d.withColumn("part", F.array(*[F.col("x")[p] for p in positions])), "part", len(positions))
 
-    return outputs(ev.ablation(states(t), subsets, ch, score, "state", "y", "new", "wear"))
+    return outputs(ev.ablation(states(t), subsets, ch, score, "state", "y", "new", "wear", models))
 
 
 @query("ev_robustness_grid")
 def _(t):
-    """Three crops of the vector x three scores, one comparison per combination."""
-    crops = {"full": (1, 64), "centre_0.65": (12, 42), "large_centre_0.85": (6, 54)}
+    """Four crops of the vector and its histogram, three scores each, one comparison per combination."""
+    crops = {"full": (1, 64), "centre_0.65": (12, 42), "large_centre_0.85": (6, 54), "fixed_random_0.65": (18, 42)}
+    inputs = {name: (states(t).withColumn("part", F.slice("x", *at)), at[1]) for name, at in crops.items()}
+    inputs["histogram"] = (states(t).withColumn("part", v.histogram("x", -0.5, 0.5, 32)), 32)
     out = None
-    for name, (start, size) in crops.items():
-        w = states(t).withColumn("x", F.slice("x", start, size))
-        base = m.pca_reconstruction(w, "x", size, _ref()).select("vec_id", "state", "y", F.col("score").alias("pca"))
-        iso = m.isolation_forest(w, "vec_id", "x", _ref(), trees=50).select("vec_id", F.col("score").alias("isolation"))
-        vec = w.select(F.col("vec_id").alias("id"), "state", "x")
+    for name, (w, size) in inputs.items():
+        scored = m.pca_reconstruction(w, "part", size, _ref()).withColumnRenamed("score", "pca")
+        scored = m.isolation_forest(scored, "vec_id", "part", _ref()).withColumnRenamed("score", "isolation")
+        vec = w.select(F.col("vec_id").alias("id"), "state", F.col("part").alias("x"))
         knn = v.knn_mean_distance(vec.select("id", "x"), vec.where(_ref()).select("id", "x")).select(F.col("id").alias("vec_id"), F.col("score").alias("knn"))
-        part = ev.compare(base.join(iso, "vec_id").join(knn, "vec_id"), "state", "y", ["pca", "isolation", "knn"], "new", "wear").withColumn("crop", F.lit(name))
+        part = ev.compare(scored.join(knn, "vec_id"), "state", "y", ["pca", "isolation", "knn"], "new", "wear").withColumn("crop", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return outputs(out)
 
