@@ -59,8 +59,10 @@ def test_auc_with_ties(spark):
 
 
 @pytest.mark.parametrize("metric", ["euclidean", "cosine"])
-def test_nearest_over_many_blocks(spark, monkeypatch, metric):
-    monkeypatch.setattr(v, "BLOCK_ROWS", 30)
+@pytest.mark.parametrize("shipped, cell, block", [(10**6, 2000, 20_000), (0, 10**6, 30), (0, 10, 4), (0, 7, 1000)])
+def test_nearest_over_cells_and_blocks(spark, monkeypatch, metric, shipped, cell, block):
+    for name, value in (("SHIPPED", shipped), ("CELL_ROWS", cell), ("BLOCK_ROWS", block)):
+        monkeypatch.setattr(v, name, value)
     rng = np.random.default_rng(7)
     q, it = rng.normal(size=(70, 5)), rng.normal(size=(100, 5))
     frame = lambda a: spark.createDataFrame(pd.DataFrame({"id": range(len(a)), "x": a.tolist()}), "id long, x array<double>")
@@ -80,9 +82,44 @@ def test_bm25_blocks_do_not_change_results(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(rng.choice(words, 12))) for i in range(60)], "id long, text string")
     qs = spark.createDataFrame([(i, " ".join(rng.choice(words, 4))) for i in range(5)], "id long, text string")
     one = ret.bm25(docs, qs, 5).orderBy("query_id", "rank").collect()
-    import tracework.operators.vectors as vec
-    monkeypatch.setattr(vec, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(ret, "QUERY_TOKENS", 6)
+    monkeypatch.setattr(ret, "DOC_BLOCK", 7)
+    monkeypatch.setattr(ret, "HELD_TERMS", 5)
     assert ret.bm25(docs, qs, 5).orderBy("query_id", "rank").collect() == one
+    assert len(one) == 25 and ret.bm25(docs.limit(0), qs, 5).count() == 0 and ret.bm25(docs, qs.limit(0), 5).count() == 0
+
+
+def test_pivot_bounds_rule_out_most_cells(spark, monkeypatch):
+    """Clustered vectors: exact neighbours while a query visits less than a fifth of the items, also with ties and null vectors."""
+    monkeypatch.setattr(v, "SHIPPED", 0)
+    monkeypatch.setattr(v, "CELL_ROWS", 60)
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(40, 12)) * 4
+    it = np.concatenate([c + rng.normal(size=(75, 12)) * 0.4 for c in centre])
+    it[10:14] = it[10]
+    q = np.concatenate([it[::60] + 0.01, rng.normal(size=(5, 12)) * 4, it[10:11]])
+    frame = lambda a: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(a)] + [(10**6, None)], "id long, x array<double>")
+    items, queries = frame(it), frame(q)
+    got = v.nearest(queries, items, 5).orderBy("query_id", "rank").toPandas()
+    d = np.round(np.linalg.norm(q[:, None] - it[None], axis=2), 12)
+    want = np.array([np.lexsort((np.arange(len(it)), row))[:5] for row in d])
+    np.testing.assert_array_equal(got["item_id"].to_numpy().reshape(-1, 5), want)
+    real = queries.where("x is not null")
+    cells = v.Cells(items.where("x is not null"), len(it), False)
+    bound = spark.createDataFrame([(i, float(b)) for i, b in enumerate(np.sort(d, 1)[:, 4])], "id long, bound double")
+    size = dict(enumerate(cells.count.tolist()))
+    looked = sum(size[r["cell"]] for part in (v.visits(real, cells, 5), v.visits(real, cells, 5, bound)) for r in part.select("cell").collect())
+    assert looked < 0.2 * len(q) * len(it)
+
+
+def test_zero_vectors_in_cosine_search(spark, monkeypatch):
+    rows = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, -2.0]), (3, [-3.0, 0.0])], "id long, x array<double>")
+    out = []
+    for shipped in (0, 10**6):
+        monkeypatch.setattr(v, "SHIPPED", shipped)
+        monkeypatch.setattr(v, "CELL_ROWS", 1)
+        out.append(sorted(map(tuple, v.nearest(rows, rows, 2, "cosine").collect())))
+    assert out[0] == out[1] and [r[:3] for r in out[0] if r[0] == 0] == [(0, 0, 0.0), (0, 1, 0.0)]
 
 
 def test_split_shares(spark):

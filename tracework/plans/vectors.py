@@ -36,10 +36,10 @@ def patches(t):
 
 
 def bank(t):
-    return v.memory_bank(patches(t).where("label = 0").select("id", "x"), "id", 200)
+    return v.memory_bank(patches(t).where("label = 0").select("id", "x"), "id")
 
 
-BANK_SQL = P_SQL + ", k AS (SELECT id, x FROM p WHERE label = 0 ORDER BY md5(id::VARCHAR || ':42'), id LIMIT 200)"
+BANK_SQL = P_SQL + ", k AS (SELECT id, x FROM p WHERE label = 0 ORDER BY md5(id::VARCHAR || ':42'), id LIMIT 20000)"
 SCORE_SQL = BANK_SQL + ", s AS (SELECT p.image, p.id, min(list_distance(p.x, k.x)) AS patch_score FROM p, k GROUP BY 1, 2)"
 
 
