@@ -39,7 +39,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str] = ()
     """Match every left row with the right row closest in ``on``.
 
     backward: last right row at or before; forward: first at or after; nearest: the
-    closer of both, earlier one on ties.  Works without keys too: the time axis is
+    closer of both, earlier one on ties; both: backward and forward side by side, the latter's columns
+    with ``_ahead`` after ``suffix``.  Works without keys too: the time axis is
     cut into ranges, so neither a hot key nor an unkeyed data set lands in one task.
     Plan: one shuffle of the stacked rows plus a small border table.
     """
@@ -53,6 +54,15 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str] = ()
     if direction == "forward":
         got = ordered_columns(stacked, by, order, ranges=ranges, next={"_n": "_r"})
         return _emit(got, left, right, by, F.col("_n"), suffix)
+    if direction == "both":  # among equal clock values the right rows stand on either side of the left ones, by a rank of their own
+        ahead = stacked.withColumn("_side", F.when(F.col("_l").isNotNull(), 1).otherwise(F.col("_side")))
+        twice = ahead.union(stacked.where("_r IS NOT NULL").withColumn("_side", F.lit(2)))
+        twice = twice.withColumn("_r0", F.when(F.col("_side") == 0, F.col("_r"))).withColumn("_r2", F.when(F.col("_side") == 2, F.col("_r")))
+        got = ordered_columns(twice, by, order, ranges=ranges, last={"_p": "_r0"}, next={"_n": "_r2"}).where("_l IS NOT NULL")
+        rest, right_cols = ([c for c in d.columns if c not in by] for d in (left, right))
+        name = lambda c, more: f"{c}{suffix if c in rest else ''}{more}"
+        return got.select(*by, *[F.col(f"_l.{c}").alias(c) for c in rest], *[F.col(f"_p.{c}").alias(name(c, "")) for c in right_cols],
+                          *[F.col(f"_n.{c}").alias(name(c, "_ahead")) for c in right_cols])
     got = ordered_columns(stacked, by, order, ranges=ranges, last={"_p": "_r"}, next={"_n": "_r"})
     back, ahead = F.col("_t") - F.col(f"_p.{on}"), F.col(f"_n.{on}") - F.col("_t")
     nearer = (

@@ -6,6 +6,7 @@ from tracework.operators import aggregates as a
 from tracework.operators import joins as j
 from tracework.operators import windows as win
 from tracework.operators.ordered import ordered_columns
+from tracework.plans.joins import CHANNELS
 from tracework.plans.registry import outputs, query
 
 _IDX = """i AS (SELECT user_id AS part, event_id, event_type, value AS v, epoch_us(ts) AS us,
@@ -228,9 +229,7 @@ def _(t):
 
 
 @query("rsh_pivot_features", "SELECT user_id AS part, " + ", ".join(
-    f"round(sum(value) FILTER (event_type = '{c}'), 6) AS {c}_total, count(*) FILTER (event_type = '{c}') AS {c}_n"
-    for c in ("click", "view")) + " FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+    f"round(sum(value) FILTER (event_type = '{c}'), 6) AS {c}_total, count(*) FILTER (event_type = '{c}') AS {c}_n" for c in CHANNELS) + " FROM events GROUP BY 1")
 def _(t):
-    s = t.series.where(F.col("channel").isin("click", "view"))
-    w = j.pivot_features(s, ["part"], "channel", ["click", "view"], {"total": F.sum("v"), "n": F.count("v")})
-    return outputs(w.na.fill(0, ["click_n", "view_n"]))
+    w = j.pivot_features(t.series, ["part"], "channel", CHANNELS, {"total": F.sum("v"), "n": F.count("v")})
+    return outputs(w.na.fill(0, [f"{c}_n" for c in CHANNELS]))

@@ -51,9 +51,8 @@ def _(t):
 
 @query("join_asof_backward_forward", _BOTH + "SELECT part, event_id, b_id, f_id FROM m")
 def _(t):
-    """Both one-sided matches of every click."""
-    b = _asof(t, "backward").select("part", "event_id", F.col("r_id").alias("b_id"))
-    return b.join(_asof(t, "forward").select("part", "event_id", F.col("r_id").alias("f_id")), ["part", "event_id"])
+    """Both one-sided matches of every click, from one pass."""
+    return _asof(t, "both").select("part", "event_id", F.col("r_id").alias("b_id"), F.col("r_id_ahead").alias("f_id"))
 
 
 @query("join_asof_unkeyed", f"""
@@ -115,17 +114,14 @@ def _(t):
     return t.documents.select("doc_id", "lang", "n_chars").join(t.labels, "doc_id")
 
 
-@query("join_horizontal", """
-SELECT user_id AS part, round(avg(value) FILTER (event_type = 'click'), 6) AS frontside_mean,
- max(value) FILTER (event_type = 'click') AS frontside_max,
- round(avg(value) FILTER (event_type = 'view'), 6) AS backside_mean,
- max(value) FILTER (event_type = 'view') AS backside_max
-FROM events WHERE event_type IN ('click', 'view') GROUP BY 1""")
+CHANNELS = ("click", "error", "purchase", "signup", "view")
+
+
+@query("join_horizontal", "SELECT user_id AS part, " + ", ".join(
+    f"round(avg(value) FILTER (event_type = '{c}'), 6) AS {c}_mean, max(value) FILTER (event_type = '{c}') AS {c}_max" for c in CHANNELS) + " FROM events GROUP BY 1")
 def _(t):
-    side = F.when(F.col("channel") == "click", "frontside").otherwise("backside")
-    s = t.series.where(F.col("channel").isin("click", "view")).withColumn("side", side)
-    return outputs(j.pivot_features(s, ["part"], "side", ["frontside", "backside"],
-                                    {"mean": F.avg("v"), "max": F.max("v")}))
+    """Feature frames of all channels side by side."""
+    return outputs(j.pivot_features(t.series, ["part"], "channel", CHANNELS, {"mean": F.avg("v"), "max": F.max("v")}))
 
 
 _ALIGN_SQL = """

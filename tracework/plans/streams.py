@@ -57,13 +57,12 @@ def _(t):
 
 
 @query("str_session", """
-WITH l AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 14400000000 THEN 0 ELSE 1 END AS nw FROM events),
-s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM l),
-g AS (SELECT user_id AS part, min(epoch_us(ts)) AS start_us, max(epoch_us(ts)) AS last_us, count(*) AS n FROM s GROUP BY user_id, sid)
-SELECT part, start_us, n FROM g WHERE last_us + 14400000000 <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events)""")
+WITH l AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 14400000000 THEN 0 ELSE 1 END AS nw FROM events),
+s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM l)
+SELECT user_id AS part, min(epoch_us(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, sid""")
 def _(t):
-    """Closed sessions only: the last ones stay open until the watermark passes them."""
-    return live.run(live.sessions(feed(t), "ts", "4 hours", "part", "1 hour"), "sessions")
+    """All sessions, those still open at the end included."""
+    return live.run_latest(live.sessions(feed(t), "ts", "4 hours", "part", "1 hour"), "sessions", ["part", "start_us"]).where("n > 0")
 
 
 def _model(t):
