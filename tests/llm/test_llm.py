@@ -246,9 +246,104 @@ def test_matches_sql(spark, name):
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, con.execute(f"select {cols} from ({queries.ORACLES[name]})").fetchall()))
 
 
+def chain(rows):
+    """The five stages in plain Python on (doc_id, text, lang, source) rows; returns (doc_id, lang, source, n_tokens, ids digest)."""
+    import zlib
+    from tokenizers import Tokenizer
+    # 1: naive Bayes over hashed n-grams, learnt from documents that are not held out
+    def grams(t):
+        ids, first = langid.gram_ids([t])
+        return collections.Counter(ids[: len(t)].ravel().tolist())
+    counts, sizes = collections.defaultdict(collections.Counter), collections.Counter()
+    for i, t, lang, _ in rows:
+        if t is not None and lang is not None and not (i is not None and zlib.crc32(str(i).encode()) % 3 == 1):
+            counts[lang].update(grams(t))
+            sizes[lang] += 1
+    kept = []
+    for r in rows:
+        if not r[1] or not any(c.isalpha() for c in r[1]) or not counts:
+            continue
+        score = {}
+        for lang, c in counts.items():
+            total = sum(c.values()) + 0.5 * langid.BUCKETS
+            score[lang] = np.log(sizes[lang] / sum(sizes.values())) + sum(n * np.log((c[g] + 0.5) / total) for g, n in grams(r[1]).items())
+        best = max(score.values())
+        if 1 / sum(np.exp(v - best) for v in score.values()) >= 0.5:
+            kept.append(r)
+    # 2: near duplicates by all pairs; the smallest id of a group stays, rows of equal id and text once
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t) for _, t, *_ in kept]
+    codes = {w: n for n, w in enumerate({w for ws in words for w in ws})}
+    seqs = [np.array([codes[w] for w in ws], np.uint32) for ws in words]
+    root = list(range(len(kept)))
+    for a in range(len(kept)):
+        for b in range(a):
+            if root[a] != root[b] and (words[a] == words[b] or order_minhash.similar(seqs[a], seqs[b])):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    first = {}
+    for n, r in enumerate(kept):
+        first[root[n]] = min(first.get(root[n], (True, 0, n)), (r[0] is None, r[0] or 0, n))
+    kept = [kept[n] for *_, n in first.values()]
+    # 3: passages of 35 words that stand elsewhere too
+    units = [re.findall(r"[^\x20\x09-\x0D]+", t) for _, t, *_ in kept]
+    seen = collections.Counter(tuple(u[p : p + 35]) for u in units for p in range(len(u) - 34))
+    cleaned = []
+    for (i, t, lang, source), u in zip(kept, units, strict=True):
+        gone = set()
+        for p in range(len(u) - 34):
+            if seen[tuple(u[p : p + 35])] > 1:
+                gone |= set(range(p, p + 35))
+        cleaned.append((i, " ".join(w for n, w in enumerate(u) if n not in gone) if gone else t, lang, source))
+    # 4: the mix, by the SQL of the operator
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?, ?)", cleaned)
+    taken = {r[0]: (r[1], r[2]) for r in con.execute(f"select doc_id, taken, size from ({curriculum.SQL})").fetchall()}
+    mixed = [r for r in cleaned for _ in range(taken[r[0]][0] // taken[r[0]][1] if taken[r[0]][1] else 0)]
+    # 5: the library's tokens
+    lib = Tokenizer.from_file(queries.vocabulary_path())
+    out = []
+    for i, t, lang, source in mixed:
+        ids = lib.encode(t, add_special_tokens=False).ids
+        out.append((i, lang, source, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()))
+    return sorted(out, key=repr), [len(x) for x in (rows, kept, mixed)]
+
+
+def test_pipeline_equals_plain_chain(spark, docs, tmp_path):
+    """Whole ``run`` on a fixture with null, empty, repeated, NUL and 2 MiB texts, near copies, shared passages and clashing columns."""
+    pytest.importorskip("tokenizers")
+    import corpus_pipeline as c
+    some = [(r.doc_id, r.text, r.lang, r.source) for r in docs.orderBy("doc_id").limit(60).collect()]
+    base = some[0][1].split()
+    extra = [(1001, None, "en", "a"), (1002, "", "en", "a"), (1003, "½ ² 12", "en", "a"), (1004, "the\0 quick \0brown fox and the dog", "en", "a"), some[5],
+             (1005, " ".join(f"the word{i} and" for i in range(150_000)), "en", None), (1006, " ".join(base[:-1] + ["changed"]), some[0][2], some[0][3]),
+             (1007, "see this now: " + SHARED + " and so it ends", "en", "a"), (1008, "the other one " + SHARED + " was here before", "en", "b"), (None, "no name but the words of a text", "en", "a")]
+    rows = some + extra
+    names = "doc_id long, text string, lang string, source string, n_chars int, score double, lang_pred string, _h long, removed int, kept string, id string, n_words int, size int, target int, times int, position int, source_size int, _row int"
+    df = spark.createDataFrame([(*r, len(r[1] or ""), 0.5, "x", 1, 2, "y", "z", 3, 4, 5, 6, 7, 8, 9) for r in rows], names).repartition(3)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want, sizes = chain(rows)
+    got = sorted(((r.doc_id, r.lang, r.source, r.n_tokens, r.ids_sha256) for r in c.run(spark, str(tmp_path)).collect()), key=repr)
+    assert got == want and sizes[0] > sizes[1] > 20
+    for name, stage in c.STAGES[:-1]:
+        assert stage(spark, df, str(tmp_path)).columns == df.columns, name
+
+
+def test_pipeline_of_an_empty_table(spark, docs, tmp_path):
+    import corpus_pipeline as c
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert c.run(spark, str(tmp_path)).collect() == []
+
+
+def test_letters_of_language_id(spark):
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["½ ²", "① Ⅷ", "12", "a½", "日"])], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.digest(df).collect()}
+    assert [got[i] for i in range(5)] == ["und", "und", "und", "en", "en"]
+
+
 def test_pipeline(spark, odd):
     import corpus_pipeline as c
-    docs = odd.withColumnRenamed("size", "n_chars")
+    docs = odd
     first = c.STAGES[0][1](spark, docs, SF)
     assert first.columns == docs.columns and 1 not in [r.doc_id for r in first.collect()]
     second = c.STAGES[1][1](spark, docs, SF)

@@ -4,9 +4,9 @@ Texts that are the same sequence of words form one class. Per class, the five-wo
 repeats count) are ranked by ``SKETCHES`` hash functions; each sketch takes the ``TAKEN`` smallest and keeps them in text order, so
 it is equal only where the texts agree in content and order. Classes are candidates if two sketches agree: with two
 shingles per sketch and ten sketches, a pair of similarity 0.8 is missed with probability 7e-4 (0.64 per sketch), one of 0.85 with
-7e-5. Candidates of a bucket are linked through a pivot, so no pairs inside a bucket are listed. The pivot is the member that one draw
-over all classes puts first, so the many buckets that a family of texts shares agree on few pivots, and a member is compared with those
-few instead of one per bucket. Members that turn out unlike the pivot meet a second one, from a draw of its own. Buckets that still hold several groups (template
+7e-5. Candidates of a bucket are linked through a pivot, so no pairs inside a bucket are listed. Pivots come from ``DRAWS`` orders of all
+classes, one of which serves a bucket, so the 45 buckets that a family of texts may share agree on at most about as many pivots, and
+a member is not compared with one per bucket. Members that turn out unlike the pivot meet a second one, from orders of their own. Buckets that still hold several groups (template
 pages) are settled exactly: of each member at most the rarest fifth of its shingles is kept, rarest among these members first, and members
 of different groups that share one of them are compared. Two texts of similarity 0.8 always share one, so no pair of a bucket is lost.
 
@@ -31,6 +31,8 @@ from tracework.llm.text import Prefix, canonical, mix, seeded, slices, unpack, w
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, TAKEN = 10, 2
+#: Orders in which pivots are drawn: more link more members at once, fewer compare each with fewer pivots.
+DRAWS = 4
 ODD = seeded(SKETCHES, 101) | np.uint64(1)
 LAST = np.uint64((1 << 64) - 1)
 
@@ -193,8 +195,8 @@ def _word_ids(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _pivots(members: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of each bucket with its pivot, and the bucket rows with their pivot: the first in the draw of ``salt``."""
-    draw = F.xxhash64("k", F.lit(salt))
+    """Candidate pairs of each bucket with its pivot, and the bucket rows with their pivot: the first in the bucket's order."""
+    draw = F.xxhash64("k", F.pmod("key", F.lit(DRAWS)), F.lit(salt))
     first = members.groupBy("key").agg(F.min(F.struct(draw.alias("r"), "k"))["k"].alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
     # written first: only a join of two plain shuffles has its crowded keys split by adaptive execution
     rows = members.join(stored(first, "pivots"), "key").where("k <> pivot")
