@@ -298,8 +298,8 @@ def chain(rows):
     con = duckdb.connect()
     con.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar)")
     con.executemany("insert into documents values (?, ?, ?, ?)", cleaned)
-    taken = {r[0]: (r[1], r[2]) for r in con.execute(f"select doc_id, taken, size from ({curriculum.SQL})").fetchall()}
-    mixed = [r for r in cleaned for _ in range(taken[r[0]][0] // taken[r[0]][1] if taken[r[0]][1] else 0)]
+    copies = dict(con.execute(f"select doc_id, taken from ({curriculum.SQL.replace('(size * (', '(1 * (')})").fetchall())  # also of texts left without words
+    mixed = [r for r in cleaned for _ in range(copies[r[0]])]
     # 5: the library's tokens
     lib = Tokenizer.from_file(queries.vocabulary_path())
     out = []
