@@ -135,3 +135,20 @@ def test_centred_window_across_blocks(spark):
     got = win.centred(d, ["k"], "i", 4, {"s": F.sum("v")}, block=5).orderBy("i").toPandas()["s"]
     want = [sum(float(q) ** 2 for q in range(max(0, i - 4), min(n, i + 5))) for i in range(n)]
     assert got.tolist() == want and len(got) == n
+
+
+@pytest.mark.parametrize("half", [3, 40, 200])
+def test_sliding_slope_of_any_width(small_ranges, half):
+    rng = np.random.default_rng(6)
+    n = 420
+    pdf = pd.DataFrame({"k": [1] * n + [2] * 30, "i": [*range(n), *range(30)], "x": np.log10(np.arange(n + 30) + 1), "y": rng.normal(size=n + 30) + 100})
+    pdf.loc[50:54, "y"] = np.nan
+    d = small_ranges.createDataFrame(pdf).withColumn("y", F.when(~F.isnan("y"), F.col("y")))
+    got = win.sliding_slope(d, ["k"], "i", "x", "y", half).orderBy("k", "i").toPandas()["slope"].to_numpy(float)
+    want = np.full(n + 30, np.nan)
+    for k, start, size in ((1, 0, n), (2, n, 30)):
+        for i in range(half, size - half):
+            part = pdf.iloc[start + i - half:start + i + half + 1].dropna()
+            if len(part) >= 5:
+                want[start + i] = np.polyfit(part["x"], part["y"], 1)[0]
+    np.testing.assert_allclose(got, want, rtol=1e-6, atol=1e-9)

@@ -5,6 +5,8 @@ import pytest
 from tracework.session import fresh_path
 from tracework.streaming import live
 
+#: The watermark starts at 0, so no row may lie there.
+START = 10_000
 SCHEMA = "k long, ts timestamp, us long, v double"
 
 
@@ -12,7 +14,7 @@ def feed(spark, batches):
     """One file per micro-batch of (key, second, value) rows."""
     path = fresh_path(spark, "feed")
     for rows in batches:
-        pdf = pd.DataFrame([(k, pd.Timestamp(s, unit="s"), int(s * 1e6), float(v)) for k, s, v in rows], columns=["k", "ts", "us", "v"])
+        pdf = pd.DataFrame([(k, pd.Timestamp(s + START, unit="s"), int((s + START) * 1e6), float(v)) for k, s, v in rows], columns=["k", "ts", "us", "v"])
         spark.createDataFrame(pdf, SCHEMA).coalesce(1).write.mode("append").parquet(path)
     return live.tail(spark, path, SCHEMA, "parquet")
 
@@ -42,7 +44,7 @@ def test_sessions_open_and_joined(utc):
     """A gap of exactly the limit stays inside; a late row joins two sessions; the last session is open and comes out."""
     rows = [[(1, 0, 0), (1, 60, 0), (1, 121, 0)], [(2, 100, 0), (1, 200, 0)], [(1, 215, 0), (1, 160, 0), (2, 161, 0)], [(1, 900, 0)]]
     out = live.run_latest(live.sessions(feed(utc, rows), "ts", "60 seconds", "k", "100 seconds"), "sessions", ["k", "start_us"]).where("n > 0")
-    assert sorted((r.k, r.start_us // 10**6, r.n) for r in out.collect()) == [(1, 0, 2), (1, 121, 4), (1, 900, 1), (2, 100, 1), (2, 161, 1)]
+    assert sorted((r.k, r.start_us // 10**6 - START, r.n) for r in out.collect()) == [(1, 0, 2), (1, 121, 4), (1, 900, 1), (2, 100, 1), (2, 161, 1)]
 
 
 def test_sessions_leave_the_state(utc):

@@ -33,3 +33,21 @@ def test_smote_shares_are_uniform(spark):
     line = spark.createDataFrame([(0, [0.0], 1), (1, [1.0], 1)], "id long, x array<double>, label int")
     mean = smote(line, "id", "x", "label", 1, copies=800, k=1).agg(F.avg(F.when(F.col("id") == 0, F.col("x")[0]).otherwise(1 - F.col("x")[0]))).first()[0]
     assert abs(mean - 0.5) < 0.03
+
+
+def test_separator_chunks_of_a_long_text():
+    """A text of one MiB in lines of ten characters takes less than a second, and chunks are those of the plain rule."""
+    import time
+    from tracework.operators.documents import split_separator
+    text = "\n".join(["123456789"] * 110_000)
+    begin = time.perf_counter()
+    chunks = split_separator(text, "\n", 100)
+    assert time.perf_counter() - begin < 1 and len(chunks) == 11_000 and set(map(len, chunks)) == {99}
+    assert split_separator("a\n\n b \n" + "c" * 200 + "\nd\n ", "\n", 5) == ["a\n b", "c" * 200, "d\n"]
+    assert split_separator("", "\n") == [] and split_separator("a||b", "|", 3) == ["a|b"]
+
+
+def test_header_sections_row_by_row():
+    from tracework.operators.documents import split_headers
+    got = split_headers(" lead \n# A\n## B\nx\n\n y\n#no header\n# C\nz\n## \nw\n# ")
+    assert got == [(0, None, None, "lead"), (2, "A", "B", "x\ny\n#no header"), (3, "C", None, "z\n##\nw\n#")]

@@ -1,7 +1,6 @@
 """Documents: parsing, chunking, deduplication, fingerprints and conversation history."""
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -86,36 +85,62 @@ def recursive_chunks(df: DataFrame, text: str, size: int = 200, overlap: int = 2
     return spread(df).select(*rest, run(F.col(text)).alias("_c")).select(*rest, F.posexplode("_c").alias("chunk", "text"))
 
 
+def split_separator(text: str, sep: str = "\n", size: int = 100) -> list[str]:
+    """Pieces between separators, merged greedily while they fit into ``size`` characters; one pass over the text."""
+    out, held, length = [], [], 0
+    for piece in text.split(sep) if sep else text:
+        if not piece:
+            continue
+        if held and length + len(sep) + len(piece) > size:
+            out.append(sep.join(held))
+            held, length = [], 0
+        length += len(piece) + (len(sep) if held else 0)
+        held.append(piece)
+    out.append(sep.join(held))
+    return [c for c in (c.strip(" ") for c in out) if c]
+
+
 def separator_chunks(df: DataFrame, text: str, sep: str = "\n", size: int = 100) -> DataFrame:
-    """Pieces between separators merged greedily up to ``size`` characters, no overlap."""
-    pieces = F.filter(F.split(F.col(text), re.escape(sep)), lambda p: p != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"))
+    """Pieces between separators merged greedily up to ``size`` characters, no overlap; one row per chunk."""
 
-    def step(s: Column, p: Column) -> Column:
-        joined = F.concat(s["cur"], F.lit(sep), p)
-        return (F.when(s["cur"].isNull(), F.struct(s["done"].alias("done"), p.alias("cur")))
-                .when(F.length(joined) <= size, F.struct(s["done"].alias("done"), joined.alias("cur")))
-                .otherwise(F.struct(F.concat(s["done"], F.array(s["cur"])).alias("done"), p.alias("cur"))))
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: split_separator(t or "", sep, size))
 
-    end = lambda s: F.when(s["cur"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"])))
     rest = [c for c in df.columns if c != text]
-    chunks = F.filter(F.transform(F.aggregate(pieces, start, step, end), lambda c: F.trim(c)), lambda c: c != "")
-    return spread(df).select(*rest, F.posexplode(chunks).alias("chunk", "text"))
+    return spread(df).select(*rest, run(F.col(text)).alias("_c")).select(*rest, F.posexplode("_c").alias("chunk", "text"))
+
+
+def split_headers(text: str) -> list[tuple[int, str | None, str | None, str]]:
+    """Number, headers and trimmed lines of the sections of one text; a first-level header also ends the second-level one."""
+    out, number, first, second, body = [], 0, None, None, []
+
+    def close() -> None:
+        if body:
+            out.append((number, first, second, "\n".join(body)))
+
+    for line in map(lambda raw: raw.strip(" "), text.split("\n")):
+        if not line.startswith(("# ", "## ")):
+            body += [line] if line else []
+            continue
+        close()
+        number, body = number + 1, []
+        if line.startswith("# "):
+            first, second = line[1:].strip(" "), None
+        else:
+            second = line[2:].strip(" ")
+    close()
+    return out
 
 
 def header_sections(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """Sections under '#' and '##' headers with the headers as columns; one document is one row."""
-    keys = list(keys)
-    lines = df.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("line", "_t")).withColumn("_t", F.trim("_t"))
-    h1 = F.when(F.col("_t").rlike("^# "), F.trim(F.regexp_replace("_t", "^#", "")))
-    h2 = F.when(F.col("_t").rlike("^## "), F.trim(F.regexp_replace("_t", "^##", "")))
-    # a first-level header also ends the second-level one: '' stands for "none"
-    d = lines.withColumn("_h1", h1).withColumn("_h2", F.when(h1.isNotNull(), "").otherwise(h2))
-    d = d.withColumn("_new", F.when(h1.isNotNull() | h2.isNotNull(), 1).otherwise(0)).withColumn("_l", F.col("line").cast("long"))
-    d = ordered_columns(d, keys, ["_l"], running={"section": "_new"}, last={"header_1": "_h1", "header_2": "_h2"})
-    body = d.where((F.col("_new") == 0) & (F.col("_t") != ""))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "_t"))), lambda s: s["_t"]), "\n")
-    return body.groupBy(*keys, "section").agg(F.first("header_1").alias("header_1"), F.nullif(F.first("header_2"), F.lit("")).alias("header_2"), joined.alias("text"))
+    """Sections under '#' and '##' headers with the headers as columns; one document is one row, split where it is read."""
+
+    @F.pandas_udf("array<struct<section:bigint,header_1:string,header_2:string,text:string>>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [dict(zip(("section", "header_1", "header_2", "text"), c, strict=True)) for c in split_headers(t or "")])
+
+    return spread(df).select(*keys, F.explode(run(F.col(text))).alias("_s")).select(*keys, "_s.section", F.col("_s.header_1"), F.col("_s.header_2"), F.col("_s.text").alias("text"))
 
 
 def chunk_dedup(chunks: DataFrame, text: str, order: Sequence[str]) -> DataFrame:

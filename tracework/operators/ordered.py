@@ -150,8 +150,8 @@ def _sorted_pass(names: list[str], keys: list[str], wanted: dict[str, dict[str,
             sides = pa.table({"g": group, "v": column[f"_t_{out}"]}).group_by("g", use_threads=False).aggregate([("v", kind)])
             got[out] = sides.column(f"v_{kind}").combine_chunks().take(pa.array(group))
         head, tail = group == 0, group == group[-1]
-        got |= {"_i": pa.array(at - start), "_range": pa.array(np.full(n, TaskContext.get().partitionId(), np.int32)), "_head": pa.array(head), "_tail": pa.array(tail),
-                "_first": pa.array(at == 0), "_last": pa.array(at == n - 1)}
+        got |= {"_ordinal": pa.array(at - start), "_range": pa.array(np.full(n, TaskContext.get().partitionId(), np.int32)), "_in_head": pa.array(head), "_in_tail": pa.array(tail),
+                "_at_first": pa.array(at == 0), "_at_last": pa.array(at == n - 1)}
         yield from pa.table([*[column[c] for c in names], *got.values()], names=[*names, *got]).to_batches(max_chunksize=10_000)
 
     return run
@@ -167,7 +167,7 @@ def _by_ranges(df: DataFrame, keys: list[str], order: list[str], ranges: int, in
         if not isinstance(sums[out], T.LongType | T.DoubleType):
             raise TypeError(f"running sums are long or double, not {sums[out].simpleString()}")
     out_types = {out: sums.get(out) or types[c] for out, c in source.items()} | {out: sums[out] for out in total}
-    marks = {"_i": T.LongType(), "_range": T.IntegerType(), "_head": T.BooleanType(), "_tail": T.BooleanType(), "_first": T.BooleanType(), "_last": T.BooleanType()}
+    marks = {"_ordinal": T.LongType(), "_range": T.IntegerType(), "_in_head": T.BooleanType(), "_in_tail": T.BooleanType(), "_at_first": T.BooleanType(), "_at_last": T.BooleanType()}
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema] + [T.StructField(n, t) for n, t in (out_types | marks).items()])
 
     one_pass = _sorted_pass(df.columns, keys, wanted, {out for out, t in sums.items() if isinstance(t, T.DoubleType)}, {out: kind for out, (kind, _) in total.items()})
@@ -175,15 +175,15 @@ def _by_ranges(df: DataFrame, keys: list[str], order: list[str], ranges: int, in
     local = materialise(rows.repartitionByRange(ranges, *place).sortWithinPartitions(*place).mapInArrow(one_pass, schema), "ordered")
 
     # the first and the last row of each range; a range of one row is both
-    side = F.explode(F.array_compact(F.array(F.when(F.col("_first"), F.lit(0)), F.when(F.col("_last"), F.lit(1)))))
-    edges = local.where("_first or _last").withColumn("_side", side)
+    side = F.explode(F.array_compact(F.array(F.when(F.col("_at_first"), F.lit(0)), F.when(F.col("_at_last"), F.lit(1)))))
+    edges = local.where("_at_first or _at_last").withColumn("_at_side", side)
     parts = [F.col(k) for k in keys] or [F.lit(1)]
-    ended, begun = F.col("_side") == 1, F.col("_side") == 0
-    before = Window.partitionBy(*parts).orderBy("_range", "_side").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*parts).orderBy(F.col("_range").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ended, begun = F.col("_at_side") == 1, F.col("_at_side") == 0
+    before = Window.partitionBy(*parts).orderBy("_range", "_at_side").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*parts).orderBy(F.col("_range").desc(), F.col("_at_side").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*parts)
     cell = lambda c: F.struct(F.col(c).alias("v"))  # noqa: E731 - keeps a null value apart from no row
-    ahead = [F.sum(F.when(ended, F.col("_i") + 1)).over(before).alias("_offset")]
+    ahead = [F.sum(F.when(ended, F.col("_ordinal") + 1)).over(before).alias("_offset")]
     ahead += [F.last(F.when(ended, cell(c)), ignorenulls=True).over(before).alias(out) for out, c in wanted["lag"].items()]
     ahead += [F.sum(F.when(ended, F.col(out))).over(before).alias(out) for out in wanted["running"]]
     ahead += [F.last(F.when(ended, F.col(out)), ignorenulls=True).over(before).alias(out) for out in wanted["last"]]
@@ -191,21 +191,21 @@ def _by_ranges(df: DataFrame, keys: list[str], order: list[str], ranges: int, in
     behind += [F.last(F.when(begun, cell(c)), ignorenulls=True).over(after).alias(out) for out, c in wanted["lead"].items()]
     behind += [F.last(F.when(begun, F.col(out)), ignorenulls=True).over(after).alias(out) for out in wanted["next"]]
     merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
-    once = ended | ~F.col("_tail")  # a range inside one key tells its total once
+    once = ended | ~F.col("_in_tail")  # a range inside one key tells its total once
     sums_all = [merge[kind](F.when(once, F.col(out))).over(whole).alias(out) for out, (kind, _) in total.items()]
-    carried = edges.select("_range", "_side", F.struct(*ahead).alias("_ahead"), F.struct(*behind).alias("_behind"), F.struct(F.lit(0).alias("_none"), *sums_all).alias("_whole"))
+    carried = edges.select("_range", "_at_side", F.struct(*ahead).alias("_ahead"), F.struct(*behind).alias("_behind"), F.struct(F.lit(0).alias("_none"), *sums_all).alias("_whole"))
     pick = lambda c, side: F.first(F.when(side, F.col(c)), ignorenulls=True)
     borders = carried.groupBy("_range").agg(pick("_ahead", begun).alias("_ahead"), pick("_behind", ended).alias("_behind"), pick("_whole", begun).alias("_wa"), pick("_whole", ended).alias("_wb"))
 
     joined = local.join(borders, "_range", "left")
-    head, tail = F.col("_head"), F.col("_tail")
+    head, tail = F.col("_in_head"), F.col("_in_tail")
     outs = [F.col(f"`{c}`") for c in df.columns]
     if index:
-        outs.append((F.col("_i") + F.when(head, F.coalesce("_ahead._offset", F.lit(0))).otherwise(0)).cast("long").alias(index))
+        outs.append((F.col("_ordinal") + F.when(head, F.coalesce("_ahead._offset", F.lit(0))).otherwise(0)).cast("long").alias(index))
     for out in wanted["lag"]:
-        outs.append(F.when(head & (F.col("_i") == 0), F.col(f"_ahead.{out}.v")).otherwise(F.col(out)).alias(out))
+        outs.append(F.when(head & (F.col("_ordinal") == 0), F.col(f"_ahead.{out}.v")).otherwise(F.col(out)).alias(out))
     for out in wanted["lead"]:
-        outs.append(F.when(F.col("_last"), F.col(f"_behind.{out}.v")).otherwise(F.col(out)).alias(out))
+        outs.append(F.when(F.col("_at_last"), F.col(f"_behind.{out}.v")).otherwise(F.col(out)).alias(out))
     for out in wanted["running"]:
         carry = F.when(head, F.col(f"_ahead.{out}"))
         outs.append(F.coalesce(F.col(out) + carry, F.col(out), carry).alias(out))

@@ -150,19 +150,40 @@ def moving_average(df: DataFrame, keys: Sequence[str], index: str, value: str, w
     return d.withColumn(out, F.col(out) / width)
 
 
-def sliding_slope(df: DataFrame, keys: Sequence[str], index: str, x: str, y: str, half: int,
+def half_width(n: Column, share: float = 0.08, least: int = 7) -> Column:
+    """Half of an odd window that covers ``share`` of ``n`` points, at least ``least`` of them."""
+    return F.greatest(F.floor(F.round(n * share) / 2), F.lit(least // 2)).cast("long")
+
+
+def sliding_slope(df: DataFrame, keys: Sequence[str], index: str, x: str, y: str, half: int | Column,
                   min_points: int = 5) -> DataFrame:
-    """Least-squares slope of y on x in a full centred window; null at the edges."""
-    shape = {
-        "_sx": F.sum(x), "_sy": F.sum(y), "_sxx": F.sum(F.col(x) * F.col(x)),
-        "_sxy": F.sum(F.col(x) * F.col(y)), "_cnt": F.count(F.col(x) + F.col(y)),
-        "_w": F.count(F.lit(1)),
-    }
-    d = centred(df, keys, index, half, shape)
-    den = F.col("_cnt") * F.col("_sxx") - F.col("_sx") * F.col("_sx")
-    num = F.col("_cnt") * F.col("_sxy") - F.col("_sx") * F.col("_sy")
-    ok = (F.col("_w") == 2 * half + 1) & (F.col("_cnt") >= min_points) & (den != 0)
-    return d.withColumn("slope", F.when(ok, num / den)).drop(*shape)
+    """Least-squares slope of y on x in a full centred window; null at the edges.
+
+    Sums over a window are differences of running sums, looked up ``half`` rows ahead and ``half + 1`` behind, so a window may be of any
+    width at the same cost.  ``half`` may be a column that is constant per key; ``index`` counts 0, 1, 2, .. per key.  Values are taken
+    relative to their overall means, which keeps the running sums small and changes no slope.
+    """
+    keys = list(keys)
+    means = df.agg(F.struct(F.avg(x).alias("x"), F.avg(y).alias("y"))).scalar()
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    own = F.struct(*df.columns).alias("_own")
+    d = df.select(*keys, F.col(index).cast("long").alias("_i"), own, (half if isinstance(half, Column) else F.lit(half)).cast("long").alias("_h"),
+                  both.cast("long").alias("_one"), F.when(both, F.col(x)).alias("_xv"), F.when(both, F.col(y)).alias("_yv")).withColumn("_m", means)
+    xc, yc = F.coalesce(F.col("_xv") - F.col("_m.x"), F.lit(0.0)), F.coalesce(F.col("_yv") - F.col("_m.y"), F.lit(0.0))
+    d = d.select(*keys, "_i", "_own", "_h", "_one", xc.alias("_x"), yc.alias("_y"), (xc * xc).alias("_xx"), (xc * yc).alias("_xy"))
+    sums = ("_one", "_x", "_y", "_xx", "_xy")
+    d = ordered_columns(d, keys, ["_i"], running={f"{c}s": c for c in sums})
+    # each row stands for itself and lends its running sums to the two centres whose windows end or begin here
+    places = F.array(*[F.struct(at.alias("at"), F.lit(role).alias("role")) for role, at in enumerate((F.col("_i"), F.col("_i") - F.col("_h"), F.col("_i") + F.col("_h") + 1))])
+    d = d.withColumn("_p", F.explode(places))
+    role, upto = F.col("_p.role"), F.struct(*[F.col(f"{c}s").alias(c) for c in sums])
+    pick = lambda c, r: F.first(F.when(role == r, c), ignorenulls=True)
+    met = d.groupBy(*keys, F.col("_p.at").alias("_at")).agg(
+        pick(F.struct("_own", "_h"), 0).alias("_row"), pick(upto, 1).alias("_to"), pick(upto, 2).alias("_from")).where("_row IS NOT NULL")
+    n, sx, sy, sxx, sxy = (F.col(f"_to.{c}") - F.coalesce(F.col(f"_from.{c}"), F.lit(0)) for c in sums)
+    den = n * sxx - sx * sx
+    ok = F.col("_to").isNotNull() & (F.col("_at") >= F.col("_row._h")) & (n >= min_points) & (den > 1e-12 * n * sxx)
+    return met.select("_row._own.*", F.when(ok, (n * sxy - sx * sy) / den).alias("slope"))
 
 
 def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str) -> DataFrame:

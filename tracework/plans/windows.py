@@ -121,15 +121,17 @@ def _(t):
     return outputs(win.differences(t.series, ["part"], ORD, "v").select("part", "event_id", "diff", "sign_change"))
 
 
-_SLOPE = f"""{_IDX}, c AS (SELECT part, i, ln(i + 1.0::DOUBLE) / ln(10.0::DOUBLE) AS x, ln(v) / ln(10.0::DOUBLE) AS y FROM i),
-o AS (SELECT part, i, CASE WHEN count(*) OVER w = 13 THEN regr_slope(y, x) OVER w END AS slope FROM c
- WINDOW w AS (PARTITION BY part ORDER BY i ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING))"""
+_SLOPE = f"""{_IDX}, c AS (SELECT part, i, ln(i + 1.0::DOUBLE) / ln(10.0::DOUBLE) AS x, ln(v) / ln(10.0::DOUBLE) AS y, count(*) OVER (PARTITION BY part) AS n FROM i),
+h AS (SELECT *, greatest(floor(round(n * 0.08::DOUBLE) / 2), 3)::BIGINT AS half FROM c WHERE n >= 40),
+o AS (SELECT part, i, CASE WHEN count(*) OVER w = 2 * half + 1 THEN regr_slope(y, x) OVER w END AS slope FROM h
+ WINDOW w AS (PARTITION BY part ORDER BY i ROWS BETWEEN half PRECEDING AND half FOLLOWING))"""
 
 
 def _slopes(t):
-    d = ordered_columns(t.series, ["part"], ORD, index="i")
-    d = d.select("part", "i", F.log10(F.col("i") + 1.0).alias("x"), F.log10("v").alias("y"))
-    return win.sliding_slope(d, ["part"], "i", "x", "y", 6).select("part", "i", "slope")
+    """Windows of 8 % of a series' points, for series of 40 points or more."""
+    d = ordered_columns(t.series, ["part"], ORD, index="i", total={"n": ("count", F.lit(1))}).where("n >= 40")
+    d = d.select("part", "i", "n", F.log10(F.col("i") + 1.0).alias("x"), F.log10("v").alias("y"))
+    return win.sliding_slope(d, ["part"], "i", "x", "y", win.half_width(F.col("n"))).select("part", "i", "slope")
 
 
 @query("win_sliding_slope", f"WITH {_SLOPE} SELECT part, i, round(slope, 5) + 0.0 AS slope FROM o")
