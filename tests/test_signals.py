@@ -15,6 +15,23 @@ def series(spark, groups):
     return spark.createDataFrame(rows, "k string, i long, v double")
 
 
+def test_features_of_constant_sides(spark):
+    """Correlations with a side that does not vary are undefined, not an error: even digit shares, constant and near-zero series."""
+    d = series(spark, {"even": range(1, 10), "tiny": [5e-324, 3e-310, 2.0], "same": [2, 2, 2], "one": [4], "ones": [1, 10, 100, 2]})
+    benford = {r["k"]: r["benford_correlation"] for r in ft.benford(d, ["k"], ["i"], "v").collect()}
+    law = np.log10(1 + 1 / np.arange(1, 10))
+    assert benford["even"] is None
+    np.testing.assert_allclose(benford["ones"], np.corrcoef([3, 1] + [0] * 7, law)[0, 1])
+    np.testing.assert_allclose(benford["tiny"], np.corrcoef(np.bincount([4, 3, 2], minlength=10)[1:], law)[0, 1])
+    trend = {r["k"]: r["linear_trend_rvalue"] for r in ft.linear_trend(d, ["k"], ["i"], "v").collect()}
+    assert trend["same"] == 0 and trend["one"] is None
+    np.testing.assert_allclose(trend["ones"], np.corrcoef([1, 10, 100, 2], range(4))[0, 1])
+    pairs = spark.createDataFrame([(1.0, 2.0, 5.0), (1.0, 3.0, None), (1.0, 4.0, 7.0)], "a double, b double, c double")
+    from tracework.operators.aggregates import corr_matrix
+
+    assert [(r["a"], r["b"], r["r"] and round(r["r"], 9)) for r in corr_matrix(pairs, ["a", "b", "c"]).collect()] == [("a", "b", None), ("a", "c", None), ("b", "c", 1.0)]
+
+
 @pytest.mark.parametrize("n", [5, 16, 97, 250])
 def test_long_transform_is_exact(spark, n):
     rng = np.random.default_rng(n)

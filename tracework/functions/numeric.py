@@ -34,6 +34,17 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation of the rows that have both values; null where a side is constant.
+
+    The built-in aggregate divides before a surrounding condition is asked, and a division by zero ends the job.
+    """
+    a, b = col(a).cast("double"), col(b).cast("double")
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread != 0, F.covar_pop(x, y) / F.when(spread != 0, spread))
+
+
 def adjusted_skew(n: Column, skew_pop: Column) -> Column:
     """Bias-adjusted sample skewness G1 from the population skewness."""
     n = n.cast("double")

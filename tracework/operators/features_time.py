@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tracework.functions.numeric import adjusted_kurtosis, adjusted_skew
+from tracework.functions.numeric import adjusted_kurtosis, adjusted_skew, correlation
 from tracework.operators.ordered import group_quantiles, ordered_columns, range_count
 from tracework.operators.quality import with_group_stats
 
@@ -106,12 +106,14 @@ def median(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str)
 def benford(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Correlation of first-digit shares with log10(1 + 1/d); null when undefined."""
     a = F.abs(F.col(value))
-    digit = F.floor(a / F.pow(F.lit(10.0), F.floor(F.log10(a))) + F.lit(1e-9)).cast("int")
+    power = F.floor(F.log10(a))
+    lead = F.when(power < -300, a * F.lit(1e300) / F.pow(F.lit(10.0), power + 300)).otherwise(a / F.pow(F.lit(10.0), F.greatest(power, F.lit(-300))))
+    digit = F.floor(lead + F.lit(1e-9)).cast("int")
     per = df.where(a > 0).groupBy(*keys).agg(*[F.count_if(digit == d).alias(f"_d{d}") for d in DIGITS], F.count(F.lit(1)).alias("_n"))
     pairs = F.explode(F.array(*[
         F.struct((F.col(f"_d{d}") / F.col("_n")).alias("share"), F.lit(float(np.log10(1 + 1 / d))).alias("law")) for d in DIGITS]))
     long = per.select(*keys, pairs.alias("p"))
-    r = F.when(F.stddev_pop("p.share") > 0, F.corr("p.share", "p.law"))
+    r = F.when(F.stddev_pop("p.share") > 0, correlation("p.share", "p.law"))
     return long.groupBy(*keys).agg(r.alias("benford_correlation"))
 
 
@@ -157,7 +159,7 @@ def linear_trend(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     g = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.regr_slope(value, "_x").alias("linear_trend_slope"),
         F.regr_intercept(value, "_x").alias("linear_trend_intercept"),
-        F.when(F.stddev_pop(value) > 0, F.corr(value, "_x")).otherwise(F.lit(0.0)).alias("_r"),
+        F.when(F.stddev_pop(value) > 0, correlation(value, "_x")).otherwise(F.lit(0.0)).alias("_r"),
         F.var_pop(value).alias("_vy"), F.var_pop("_x").alias("_vx"))
     r = F.when(F.col("_n") > 1, F.col("_r"))
     err = F.when((F.col("_n") > 2), F.sqrt(F.greatest(1 - r * r, F.lit(0.0)) * F.col("_vy") / F.col("_vx") / (F.col("_n") - 2))

@@ -1,6 +1,7 @@
 """Exploration of the given tables."""
 from pyspark.sql import functions as F
 
+from tracework.functions.numeric import correlation
 from tracework.operators import aggregates as a
 from tracework.operators import explore as ex
 from tracework.operators.ordered import group_quantiles
@@ -62,7 +63,7 @@ def _(t):
 @query("exp_corr_pairs", "SELECT 'l_quantity' AS predictor, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem UNION ALL SELECT 'l_discount', round(corr(l_discount, l_extendedprice), 6) FROM lineitem")
 def _(t):
     m = a.long_features(t.lineitem.withColumn("y", F.col("l_extendedprice")), ["y"], ["l_quantity", "l_discount"])
-    return outputs(m.groupBy(F.col("feature").alias("predictor")).agg(F.corr("value", "y").alias("r")))
+    return outputs(m.groupBy(F.col("feature").alias("predictor")).agg(correlation("value", "y").alias("r")))
 
 
 @query("exp_group_effect", """
@@ -73,5 +74,5 @@ def _(t):
     x = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("flag", (F.col("c_mktsegment") == "BUILDING").cast("int"))
     y, on, off = F.col("c_acctbal"), F.when(F.col("flag") == 1, F.col("c_acctbal")), F.when(F.col("flag") == 0, F.col("c_acctbal"))
     effect = (F.avg(on) - F.avg(off)) / F.sqrt(0.5 * (F.var_pop(on) + F.var_pop(off)))
-    g = x.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"), F.corr("flag", y).alias("r_flag"), effect.alias("effect"))
+    g = x.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"), correlation("flag", y).alias("r_flag"), effect.alias("effect"))
     return outputs(g, 6, mean=4)
