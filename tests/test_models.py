@@ -76,6 +76,27 @@ def test_nearest_over_cells_and_blocks(spark, monkeypatch, metric, shipped, cell
     np.testing.assert_allclose(got["value"].to_numpy().reshape(-1, 4), np.abs(np.take_along_axis(cost, want, 1)) if metric != "cosine" else -np.take_along_axis(cost, want, 1), atol=1e-9)
 
 
+def test_nearest_holds_bounded_tables(spark, monkeypatch):
+    """A task's table of distances does not grow with the items, and small tables give the same neighbours."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(1000, 4)), rng.normal(size=(20_000, 4))
+    tracemalloc.start()
+    big = [(r, i.tolist()) for r, i, _ in v._best(x, y, np.arange(len(y)), 2, False)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6 and [r for r, _ in big] == list(range(1000))
+    frame = lambda a: spark.createDataFrame(pd.DataFrame({"id": range(len(a)), "x": a.tolist()}), "id long, x array<double>")
+    monkeypatch.setattr(v, "SHIPPED", 0)
+    monkeypatch.setattr(v, "CELL_ROWS", 5)
+    found = lambda: v.nearest(frame(x[:40]), frame(y[:60]), 3).orderBy("query_id", "rank").collect()
+    want = found()
+    monkeypatch.setattr(v, "TABLE", 50)
+    monkeypatch.setattr(v, "HANDED", 3)
+    assert found() == want
+
+
 def test_bm25_blocks_do_not_change_results(spark, monkeypatch):
     rng = np.random.default_rng(9)
     words = [f"w{i}" for i in range(30)]

@@ -22,7 +22,8 @@ BLOCK_ROWS, CELL_ROWS = 20_000, 2_000
 MOST_PIVOTS = 4096
 #: Items of at most so many numbers are shipped whole.
 SHIPPED = 4_000_000
-CHUNK = 2048
+#: Numbers of a table of distances that a task holds at a time, and rows that a task hands on at a time.
+TABLE, HANDED = 2_000_000, 4096
 COSINE_MATCH = 0.8
 MEMORY_PATCHES = 20_000
 #: Slack of the bounds against rounding.
@@ -42,13 +43,20 @@ def _matrix(column: pd.Series, cosine: bool, item: bool) -> np.ndarray:
     return out
 
 
+def _chunks(n: int, width: int) -> list[slice]:
+    """``n`` rows cut so that a table with ``width`` numbers per row stays within ``TABLE``, however many rows or columns there are."""
+    step = max(1, min(HANDED, TABLE // max(width, 1)))
+    return [slice(at, at + step) for at in range(0, n, step)]
+
+
 def _best(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, cosine: bool):
     """For each row of ``x``: its k best rows of ``y`` (sorted by id), exact values, ties to the smaller id."""
     kk = min(k, len(ids))
     take = min(len(ids), kk + 8)
-    for s in range(0, len(x), CHUNK):
-        part = x[s:s + CHUNK]
-        cost = -np.round(part @ y.T, 12) if cosine else np.maximum((part * part).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * part @ y.T, 0)
+    square = None if cosine else (y * y).sum(1)[None, :]
+    for rows in _chunks(len(x), len(y)):
+        part = x[rows]
+        cost = -np.round(part @ y.T, 12) if cosine else np.maximum((part * part).sum(1)[:, None] + square - 2 * part @ y.T, 0)
         # wider preselection, then exact values
         idx = np.argpartition(cost, take - 1, axis=1)[:, :take]
         edge = np.take_along_axis(cost, idx, 1).max(axis=1)
@@ -56,7 +64,7 @@ def _best(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, cosine: bool):
             cand = np.flatnonzero(cost[r] <= edge[r] + 1e-9) if take < len(ids) else idx[r]
             exact = cost[r, cand] if cosine else np.round(np.sqrt(((part[r] - y[cand]) ** 2).sum(1)), 12)
             order = np.lexsort((ids[cand], exact))[:kk]
-            yield s + r, ids[cand][order], exact[order]
+            yield rows.start + r, ids[cand][order], exact[order]
 
 
 def _frame(query_ids: np.ndarray, found) -> pd.DataFrame:
@@ -102,10 +110,11 @@ class Cells:
 
         def place(frames):
             for pdf in frames:
-                if len(pdf):
-                    d = _distances(_matrix(pdf["x"], cosine, True), pivots.value)
+                for rows in _chunks(len(pdf), len(pivots.value)):
+                    part = pdf.iloc[rows]
+                    d = _distances(_matrix(part["x"], cosine, True), pivots.value)
                     cell = d.argmin(1)
-                    yield pdf.assign(cell=cell.astype(np.int32), away=d[np.arange(len(d)), cell])
+                    yield part.assign(cell=cell.astype(np.int32), away=d[np.arange(len(d)), cell])
 
         self.items = materialise(items.select("id", "x").mapInPandas(place, "id bigint, x array<double>, cell int, away double"), "cells")
         # one row per pivot
@@ -140,15 +149,17 @@ def visits(queries: DataFrame, cells: Cells, k: int, bounds: DataFrame | None =
         c = Cells.__new__(Cells)
         c.pivots, c.radius, c.count, c.between = shared.value
         for pdf in frames:
-            for at in range(0, len(pdf), CHUNK):
-                part = pdf.iloc[at:at + CHUNK]
+            for rows in _chunks(len(pdf), len(c.pivots)):
+                part = pdf.iloc[rows]
                 d = _distances(_matrix(part["x"], cosine, False), c.pivots)
                 chosen = c.first(d, k)
                 if again:
                     chosen = c.reached(d, part["bound"].to_numpy()) & ~chosen
                 row, cell = np.nonzero(chosen)
-                if len(row):
-                    yield pd.DataFrame({"id": part["id"].to_numpy()[row], "x": [part["x"].iloc[r] for r in row], "cell": cell.astype(np.int32)})
+                ids, x = part["id"].to_numpy(), part["x"].to_numpy()
+                for at in range(0, len(row), HANDED):
+                    few = row[at:at + HANDED]
+                    yield pd.DataFrame({"id": ids[few], "x": x[few], "cell": cell[at:at + HANDED].astype(np.int32)})
 
     rows = queries.select("id", "x")
     if again:
