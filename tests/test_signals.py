@@ -32,6 +32,34 @@ def test_features_of_constant_sides(spark):
     assert [(r["a"], r["b"], r["r"] and round(r["r"], 9)) for r in corr_matrix(pairs, ["a", "b", "c"]).collect()] == [("a", "b", None), ("a", "c", None), ("b", "c", 1.0)]
 
 
+@pytest.mark.parametrize("n", [1, 9, 25, 320, 321, 700])
+def test_wavelet_mean(n):
+    """Against the plain transform; kernels are made once, not once per series."""
+    x = np.random.default_rng(n).normal(size=n)
+    y, t, want = x[::10], np.linspace(-8.0, 8.0, 1024), []
+    area = np.cumsum(np.exp(2j * np.pi * t - t * t / 1.5) / np.sqrt(np.pi * 1.5)) * (t[1] - t[0])
+    for s in range(1, 64):
+        pick = (np.arange(s * 16 + 1) / (s * (t[1] - t[0]))).astype(int)
+        coef = -np.sqrt(s) * np.diff(np.convolve(y, area[pick[pick < len(area)]][::-1]))
+        cut = (len(coef) - len(y)) / 2
+        want.append(np.abs(coef[int(np.floor(cut)):len(coef) - int(np.ceil(cut))] if cut > 0 else coef).mean())
+    assert sp.morlet_mean(x) == pytest.approx(np.mean(want), rel=1e-12)
+    made = len(sp._WAVELETS), len(sp._SHORT)
+    assert sp.morlet_mean(x + 1) and made == (len(sp._WAVELETS), len(sp._SHORT))
+
+
+def test_wavelet_mean_travels_by_value(tmp_path):
+    """A worker that does not find the library can still run it."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "fn").write_bytes(cloudpickle.dumps(sp.morlet_mean))
+    code = "import sys, pickle; assert abs(pickle.load(open('fn', 'rb'))(__import__('numpy').ones(400))) >= 0; assert 'tracework' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin"})
+
+
 @pytest.mark.parametrize("n", [5, 16, 97, 250])
 def test_long_transform_is_exact(spark, n):
     rng = np.random.default_rng(n)

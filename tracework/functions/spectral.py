@@ -49,22 +49,47 @@ def stft_mean(x: np.ndarray, nperseg: int = 256) -> float:
     return float(np.abs(np.fft.rfft(frames, axis=1)).mean() / w.sum())
 
 
-def morlet_mean(x: np.ndarray, scales=range(1, 64), every: int = 10, bandwidth: float = 1.5, centre: float = 1.0) -> float:
-    """Mean magnitude of the complex Morlet transform of every tenth sample."""
-    x = x[::every]
+#: Wavelets by scale and transforms by length; plain dictionaries, as functions travel to the tasks by value.
+_WAVELETS: dict[tuple, np.ndarray] = {}
+_SHORT: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+SHORT_POINTS = 32
+
+
+def _wavelet(scale: int, bandwidth: float, centre: float) -> np.ndarray:
+    """Integrated complex Morlet wavelet of one scale, reversed."""
+    known = _WAVELETS.get((scale, bandwidth, centre))
+    if known is not None:
+        return known
     t = np.linspace(-8.0, 8.0, 1024)
     psi = np.exp(2j * np.pi * centre * t - t * t / bandwidth) / np.sqrt(np.pi * bandwidth)
     area = np.cumsum(psi) * (t[1] - t[0])
-    total = 0.0
-    for s in scales:
-        pick = (np.arange(s * 16 + 1) / (s * (t[1] - t[0]))).astype(int)
-        kernel = area[pick[pick < len(area)]][::-1]
-        coef = -np.sqrt(s) * np.diff(np.convolve(x, kernel))
-        cut = (len(coef) - len(x)) / 2
-        if cut > 0:
-            coef = coef[int(np.floor(cut)):len(coef) - int(np.ceil(cut))]
-        total += np.abs(coef).mean()
-    return float(total / len(scales))
+    pick = (np.arange(scale * 16 + 1) / (scale * (t[1] - t[0]))).astype(int)
+    return _WAVELETS.setdefault((scale, bandwidth, centre), area[pick[pick < len(area)]][::-1])
+
+
+def _coefficients(x: np.ndarray, scale: int, bandwidth: float, centre: float) -> np.ndarray:
+    coef = -np.sqrt(scale) * np.diff(np.convolve(x, _wavelet(scale, bandwidth, centre)))
+    cut = (len(coef) - len(x)) / 2
+    return coef[int(np.floor(cut)):len(coef) - int(np.ceil(cut))] if cut > 0 else coef
+
+
+def _short(n: int, scales: range, bandwidth: float, centre: float) -> tuple[np.ndarray, np.ndarray]:
+    """The transform of ``n`` samples as a matrix, and the first row of each scale."""
+    known = _SHORT.get((n, scales, bandwidth, centre))
+    if known is not None:
+        return known
+    parts = [np.stack([_coefficients(e, s, bandwidth, centre) for e in np.eye(n)], axis=1) for s in scales]
+    return _SHORT.setdefault((n, scales, bandwidth, centre), (np.concatenate(parts), np.cumsum([0] + [len(p) for p in parts])))
+
+
+def morlet_mean(x: np.ndarray, scales: range = range(1, 64), every: int = 10, bandwidth: float = 1.5, centre: float = 1.0) -> float:
+    """Mean magnitude of the complex Morlet transform of every tenth sample."""
+    x = x[::every]
+    if len(x) <= SHORT_POINTS:  # short series: one product with a matrix that is made once per length
+        matrix, first = _short(len(x), scales, bandwidth, centre)
+        size = np.abs(matrix @ x)
+        return float((np.add.reduceat(size, first[:-1]) / np.diff(first)).sum() / len(scales))
+    return float(sum(np.abs(_coefficients(x, s, bandwidth, centre)).mean() for s in scales) / len(scales))
 
 
 def resample(x: np.ndarray, num: int) -> np.ndarray:
