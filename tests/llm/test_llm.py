@@ -209,6 +209,16 @@ def test_curriculum(spark, odd):
     assert curriculum.digest(odd.limit(0)).count() == 0
 
 
+def test_curriculum_counts_the_mix(spark, odd, monkeypatch):
+    """The query's words come from the copies of the mix in their order of time."""
+    tables, keep = {}, curriculum.stored
+    monkeypatch.setattr(curriculum, "stored", lambda df, label: tables.setdefault(label, keep(df, label)))
+    out = curriculum.digest(odd.union(odd)).collect()
+    mix = [(r.position, r.row) for r in tables["mix"].collect()]
+    assert len(out) == 2 * len(ODD) and mix == sorted(mix) and len(mix) > 0
+    assert sum(r.taken for r in out) == sum(r.size for r in tables["mix"].collect())
+
+
 def test_tool_links(spark):
     schema = "conv_id long, call_id string, turn long, name string, arguments string, after array<string>"
     calls = spark.createDataFrame([(1, "a", 0, "f", '{"x": 1}', ["b"]), (1, "b", 2, "f", '{"x":"1"}', []), (1, "b", 3, "f", "{}", None), (1, None, 4, "f", None, None),

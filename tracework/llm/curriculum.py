@@ -93,13 +93,22 @@ def assign(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source
     return placed.select("_carry.*", "source_size", "size", "target", F.transform(F.filter(copies, lambda c: c < F.col("target")), clock).alias("times"))
 
 
+def _in_order(rows: DataFrame, *ties: str) -> DataFrame:
+    """One row per copy with its ``position`` in time, range-sorted by it."""
+    return rows.withColumn("position", F.explode("times")).drop("times").orderBy("position", *ties)
+
+
 def mixed(df: DataFrame, carry: tuple[str, ...], **kwargs) -> DataFrame:
     """The mix itself: one row per copy with its ``position`` in time, range-sorted by it. Whole copies only."""
-    return assign(df, carry=carry, **kwargs).select(*carry, F.explode("times").alias("position")).orderBy("position", *[c for c in carry if c == "doc_id"])
+    return _in_order(assign(df, carry=carry, **kwargs).select(*carry, "times"), *[c for c in carry if c == "doc_id"])
 
 
 def digest(df: DataFrame) -> DataFrame:
-    return assign(df).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("times")).alias("taken"))
+    """Per document the words that the mix takes, counted in the mix itself: its copies at their places in time."""
+    planned = stored(assign(df).withColumn("row", F.monotonically_increasing_id()), "planned")
+    mix = stored(_in_order(planned.select("row", "size", "times"), "row"), "mix")
+    taken = mix.groupBy("row").agg(F.sum("size").alias("taken"))
+    return planned.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 SQL = r"""
