@@ -48,6 +48,19 @@ def test_wavelet_mean(n):
     assert sp.morlet_mean(x + 1) and made == (len(sp._WAVELETS), len(sp._SHORT))
 
 
+def test_results_leave_in_parts(spark, monkeypatch):
+    """Long results of many rows are handed on in small parts, several functions at a time, in the rows' order."""
+    monkeypatch.setattr(sig, "HANDED", 3)
+    d = spark.range(0, 20, 1, 1).withColumn("x", F.when(F.col("id") % 7 != 3, F.sequence(F.lit(1), F.col("id") + 2).cast("array<double>")))
+    many, size = sig.array_udf(lambda x: np.repeat(x.sum(), 4)), sig.array_udf(lambda x: float(len(x)), array=False)
+    got = d.select("id", many("x").alias("m"), size("x").alias("n")).orderBy("id").collect()
+    for r in got:
+        n = r["id"] + 2
+        assert (r["m"], r["n"]) == ((None, None) if r["id"] % 7 == 3 else ([n * (n + 1) / 2] * 4, n))
+    seen = [len(part) for part in sig.array_udf(lambda x: x).func(iter([pd.Series([[1.0]] * 8)]))]
+    assert seen == [3, 3, 2]
+
+
 def test_wavelet_mean_travels_by_value(tmp_path):
     """A worker that does not find the library can still run it."""
     import subprocess

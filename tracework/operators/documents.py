@@ -1,7 +1,7 @@
 """Documents: parsing, chunking, deduplication, fingerprints and conversation history."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,8 @@ from tracework.session import spread
 # Split order of the recursive chunker, header levels and cache life.
 SEPARATORS = ("\n\n", "\n", " ", "")
 CACHE_DAYS = 7
+#: Documents whose chunks leave a task at a time.
+HANDED = 64
 
 
 def articles_json(df: DataFrame, payload: str) -> DataFrame:
@@ -74,17 +76,25 @@ def split_recursive(text: str, size: int = 200, overlap: int = 20, separators: S
     return out + _merge(short, sep, size, overlap)
 
 
-def recursive_chunks(df: DataFrame, text: str, size: int = 200, overlap: int = 20) -> DataFrame:
-    """One row per chunk (one document per call, Arrow batches)."""
+def _chunk_rows(df: DataFrame, text: str, split) -> DataFrame:
+    """One row per chunk of ``split(text)``; the chunks of few documents leave the task at a time."""
 
     @F.pandas_udf(ArrayType(StringType()))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: split_recursive(t or "", size, overlap))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            for at in range(0, len(s), HANDED):
+                yield s.iloc[at:at + HANDED].map(lambda t: split(t or ""))
 
     rest = [c for c in df.columns if c != text]
     return spread(df).select(*rest, run(F.col(text)).alias("_c")).select(*rest, F.posexplode("_c").alias("chunk", "text"))
 
 
+def recursive_chunks(df: DataFrame, text: str, size: int = 200, overlap: int = 20) -> DataFrame:
+    """One row per chunk (one document per call, Arrow batches)."""
+
+    return _chunk_rows(df, text, lambda t: split_recursive(t, size, overlap))
+
+
 def split_separator(text: str, sep: str = "\n", size: int = 100) -> list[str]:
     """Pieces between separators, merged greedily while they fit into ``size`` characters; one pass over the text."""
     out, held, length = [], [], 0
@@ -103,12 +113,7 @@ def split_separator(text: str, sep: str = "\n", size: int = 100) -> list[str]:
 def separator_chunks(df: DataFrame, text: str, sep: str = "\n", size: int = 100) -> DataFrame:
     """Pieces between separators merged greedily up to ``size`` characters, no overlap; one row per chunk."""
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: split_separator(t or "", sep, size))
-
-    rest = [c for c in df.columns if c != text]
-    return spread(df).select(*rest, run(F.col(text)).alias("_c")).select(*rest, F.posexplode("_c").alias("chunk", "text"))
+    return _chunk_rows(df, text, lambda t: split_separator(t, sep, size))
 
 
 def split_headers(text: str) -> list[tuple[int, str | None, str | None, str]]:

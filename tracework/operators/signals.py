@@ -1,7 +1,7 @@
 """Spectra of series: arrays per bounded series, segment-parallel Welch, distributed transform for long ones."""
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from tracework.functions import spectral as sp
 from tracework.operators.ordered import ordered_columns
 from tracework.session import materialise
 
+HANDED = 256  # series whose results leave a task at a time
 MAX_POINTS = 2_000_000  # longest series handled as one array (16 MB of doubles)
 
 
@@ -20,8 +21,10 @@ def array_udf(fn: Callable[[np.ndarray], np.ndarray | float], array: bool = True
     """Arrow-batched function of one array column."""
 
     @F.pandas_udf(ArrayType(DoubleType()) if array else DoubleType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda a: None if a is None or len(a) == 0 else fn(np.asarray(a, dtype=float)))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:  # results leave the task in small parts: a row may become a long array
+            for at in range(0, len(s), HANDED):
+                yield s.iloc[at:at + HANDED].map(lambda a: None if a is None or len(a) == 0 else fn(np.asarray(a, dtype=float)))
 
     return run
 
