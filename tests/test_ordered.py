@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tracework.operators import joins as j
 from tracework.operators import windows as win
 from tracework.operators.features_freq import local_maxima
-from tracework.operators.ordered import group_mode, group_quantiles, ordered_columns
+from tracework.operators.ordered import group_mode, group_quantiles, ordered_columns, range_count
+from tracework.session import ROWS_PER_RANGE
 
 
 @pytest.fixture
@@ -152,3 +153,15 @@ def test_sliding_slope_of_any_width(small_ranges, half):
             if len(part) >= 5:
                 want[start + i] = np.polyfit(part["x"], part["y"], 1)[0]
     np.testing.assert_allclose(got, want, rtol=1e-6, atol=1e-9)
+
+
+def test_ranges_of_compressed_rows(spark, tmp_path):
+    """A range holds no more than a few times ``rowsPerRange`` rows, also of a table whose rows take few bytes in its files."""
+    path = str(tmp_path / "t")
+    spark.range(0, 200_000, 1, 1).select("id", (F.xxhash64("id") % 1000 / 8.0).alias("v"), F.lit("x").alias("k")).write.parquet(path)
+    d = spark.read.parquet(path)
+    spark.conf.set(ROWS_PER_RANGE, "5000")
+    try:
+        assert range_count(d) >= 12
+    finally:
+        spark.conf.unset(ROWS_PER_RANGE)

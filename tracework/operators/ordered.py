@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 
 from tracework.session import materialise, rows_per_range
 
-#: Bytes of input files that count as one row when nothing else is known before a plan has run.
-BYTES_PER_ROW = 64
+#: Bytes of input files that count as one row when nothing else is known before a plan has run; and when ranges are cut, as a task holds
+#: its range and compressed rows of few columns are that small.
+BYTES_PER_ROW, LEAST_BYTES = 64, 16
 KINDS = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
 
@@ -33,8 +34,11 @@ def range_count(df: DataFrame) -> int:
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
-    rows = sum(sizes) // BYTES_PER_ROW if all(n < 1 << 62 for n in sizes) else df.count()
-    return max(1, -(-rows // rows_per_range(df.sparkSession)))
+    known, most = all(n < 1 << 62 for n in sizes), rows_per_range(df.sparkSession)
+    rows = sum(sizes) // BYTES_PER_ROW if known else df.count()
+    if known and rows > most:
+        rows = sum(sizes) // LEAST_BYTES
+    return max(1, -(-rows // most))
 
 
 def _order(order: Sequence[str | Column]) -> list[Column]:
