@@ -14,6 +14,7 @@ from tracework.operators.ordered import ordered_columns
 from tracework.session import materialise
 
 HANDED = 256  # series whose results leave a task at a time
+SHORT = 4096  # points up to which series are stacked
 MAX_POINTS = 2_000_000  # longest series handled as one array (16 MB of doubles)
 
 
@@ -29,6 +30,20 @@ def array_udf(fn: Callable[[np.ndarray], np.ndarray | float], array: bool = True
     return run
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def half_spectra(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Magnitudes of the half spectrum; short series of equal length are one array."""
+    for s in batches:
+        for at in range(0, len(s), HANDED):
+            part = s.iloc[at:at + HANDED].to_numpy()
+            out, sizes = np.empty(len(part), object), np.array([0 if a is None else len(a) for a in part])
+            for n in np.unique(sizes[sizes > 0]):
+                rows = np.flatnonzero(sizes == n)
+                for some in [rows] if n <= SHORT else rows[:, None]:
+                    out[some] = [*np.abs(np.fft.rfft(np.stack([np.asarray(part[i], float) for i in some]), axis=1))]
+            yield pd.Series(out)
+
+
 def series_arrays(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, **aggs: Column) -> DataFrame:
     """One row per series of bounded length: values in order plus further named aggregates."""
     rows = F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v"))))
@@ -52,7 +67,7 @@ def rfft(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, c
     step = ((F.max(clock_s) - F.min(clock_s)) / F.when(F.count(F.lit(1)) > 1, F.count(F.lit(1)) - 1))
     short, long = split_by_length(df, keys, limit)
     arr = series_arrays(short, keys, order, value, dt=step)
-    mags = arr.withColumn("n", F.size("x")).withColumn("m", array_udf(lambda x: np.abs(np.fft.rfft(x)))("x"))
+    mags = arr.withColumn("n", F.size("x")).withColumn("m", half_spectra("x"))
     out = mags.select(*keys, "n", "dt", F.posexplode("m").alias("k", "m"))
     if long is not None:
         base = long.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"), step.alias("dt"))

@@ -16,6 +16,11 @@ def spectrum(t):
     return sig.rfft(t.series, KEYS, ORD, "v", F.col("us") / 3.6e9)
 
 
+def kept_spectrum(t):
+    """The spectrum, written down once for features that read it several times."""
+    return materialise(spectrum(t), "spectrum")
+
+
 SPEC = """WITH s AS (SELECT user_id AS part, event_type AS channel, value AS v, epoch_us(ts) AS us,
  row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events),
 h AS (SELECT part, channel, max(n) AS n, CASE WHEN max(n) > 1 THEN (max(us)/3.6e9::DOUBLE - min(us)/3.6e9::DOUBLE) / (max(n) - 1) END AS dt FROM s GROUP BY 1, 2),
@@ -102,7 +107,7 @@ g AS (SELECT DISTINCT part, channel, max(nb) OVER (PARTITION BY part, channel) A
  {four('e / tot', 'peak_energy_ratio', 6)}, count(*) FILTER (cum <= 0.95::DOUBLE * tot) AS num_significant_peaks, {gaps()}
 FROM g LEFT JOIN pk ON g.part = pk.part AND g.channel = pk.channel GROUP BY 1, 2""")
 def _(t):
-    d = outputs(ff.peaks(spectrum(t), KEYS), 4, nudge=TIE, **{f"{a}_{n}": x for a in ("mean", "std", "max", "min") for n, x in (
+    d = outputs(ff.peaks(kept_spectrum(t), KEYS), 4, nudge=TIE, **{f"{a}_{n}": x for a in ("mean", "std", "max", "min") for n, x in (
         ("peak_frequency", 6), ("peak_energy", 4), ("peak_energy_ratio", 6), ("peak_distance", 6))})
     return d
 
@@ -115,7 +120,7 @@ SELECT b.*, coalesce(np, 0) AS num_peaks, q.* EXCLUDE (part, channel, np, mean_p
  coalesce(mean_peak_distance, 0.0) AS mean_peak_distance, coalesce(std_peak_distance, 0) AS std_peak_distance, coalesce(max_peak_distance, 0) AS max_peak_distance,
  coalesce(min_peak_distance, 0) AS min_peak_distance FROM b LEFT JOIN q ON b.part = q.part AND b.channel = q.channel""")
 def _(t):
-    return outputs(ff.psd(spectrum(t), KEYS), 4, nudge=TIE, skewness_psd=3, kurtosis_psd=3, power_centroid_psd=6, **{
+    return outputs(ff.psd(kept_spectrum(t), KEYS), 4, nudge=TIE, skewness_psd=3, kurtosis_psd=3, power_centroid_psd=6, **{
         f"{a}_{n}": 6 for a in ("mean", "std", "max", "min") for n in ("peak_frequency", "peak_distance")})
 
 
