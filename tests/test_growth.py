@@ -27,3 +27,27 @@ def test_spectrum_of_peaks_is_read_from_one_table(spark, tmp_path):
     t = Tables(spark, str(tmp_path))
     assert "PythonUDF" not in fr.kept_spectrum(t)._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, fr.kept_spectrum(t).collect())) == sorted(map(tuple, fr.spectrum(t).collect()))
+
+
+def test_driver_takes_one_row_of_weights_an_epoch(spark, monkeypatch):
+    """Whatever the number of partitions; the weights are those of averaging all partitions' rows."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    from tracework.operators.estimators import AutoEncoder
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        taken, whole = [], DataFrame.collect
+
+        def collect(self):
+            rows = whole(self)
+            if "steps" in self.columns:
+                taken.append(len(rows))
+            return rows
+
+        monkeypatch.setattr(DataFrame, "collect", collect)
+        x = np.random.default_rng(1).normal(size=(400, 3))
+        df = spark.createDataFrame(pd.DataFrame({"x": x.tolist()}), "x array<double>").repartition(4)
+        model = AutoEncoder(epochs=3).fit(df)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert taken == [1, 1, 1] and np.isfinite(model.arrays["weights"]).all()

@@ -14,7 +14,7 @@ from math import comb, factorial, prod, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark import keyword_only
+from pyspark import TaskContext, keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -32,7 +32,7 @@ from tracework.session import materialise
 PCA_SHARE = 0.95
 TREES, SUBSAMPLE = 300, 256
 HIDDEN = (64, 32, 8, 32, 64)
-#: Weight rows that the driver takes from an epoch at most.
+#: Weight rows of an epoch that one task adds up at most.
 LANES = 64
 #: Standard deviations below this count as this.
 FLOOR = 1e-12
@@ -278,7 +278,7 @@ class AutoEncoder(ArrayEstimator):
 
     One Spark job per epoch: each task walks its rows in mini-batches, every step with the weights that the step before left, and
     returns the weights and Adam moments it ended with; their averages, weighted by rows, start the next epoch.  With one partition
-    this is plain mini-batch training.  The driver sees weight-sized rows only, added up per lane first.
+    this is plain mini-batch training.  Tasks add these up, per lane first, so the driver takes one weight-sized row an epoch.
     """
 
     epochs = _param("epochs", "passes over the rows", TypeConverters.toInt)
@@ -318,19 +318,27 @@ class AutoEncoder(ArrayEstimator):
                         weights = weights - rate * (first / (1 - 0.9**done)) / (np.sqrt(second / (1 - 0.999**done)) + 1e-8)
                     seen += len(data)
                 if seen:
-                    yield pd.DataFrame({"n": [seen], "steps": [done - begun], "s": [(np.stack([weights, first, second]) * seen).ravel().tolist()]})
+                    part = TaskContext.get().partitionId()
+                    yield pd.DataFrame({"part": [part], "n": [seen], "steps": [done - begun], "s": [(np.stack([weights, first, second]) * seen).ravel().tolist()]})
 
             def add(pdf: pd.DataFrame) -> pd.DataFrame:
-                return pd.DataFrame({"n": [pdf["n"].sum()], "steps": [pdf["steps"].max()], "s": [np.sum(np.stack(pdf["s"].to_numpy()), 0).tolist()]})
+                pdf = pdf.sort_values("part")  # sums do not depend on the order in which rows arrive
+                return pd.DataFrame({"part": pdf["part"].iloc[:1], "n": [pdf["n"].sum()], "steps": [pdf["steps"].max()], "s": [sum(np.array(s) for s in pdf["s"]).tolist()]})
 
-            schema = "n long, steps long, s array<double>"
+            def add_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                held = [f for f in frames if len(f)]
+                if held:
+                    yield add(pd.concat(held))
+
+            schema = "part int, n long, steps long, s array<double>"
             ended = train.mapInPandas(walk, schema)
             if parts > LANES:
-                ended = ended.groupBy(F.pmod(F.spark_partition_id(), F.lit(LANES))).applyInPandas(add, schema)
-            ended = ended.collect()
-            n = sum(r["n"] for r in ended)
-            state = sum(np.array(r["s"]) for r in ended).reshape(state.shape) / n
-            steps += max(r["steps"] for r in ended)
+                ended = ended.groupBy(F.pmod("part", F.lit(LANES))).applyInPandas(add, schema)
+            if parts > 1:
+                ended = ended.repartition(1).mapInPandas(add_all, schema)
+            ended = ended.first()
+            state = np.array(ended["s"]).reshape(state.shape) / ended["n"]
+            steps += ended["steps"]
             start.unpersist()
         return self._made(AutoEncoderModel(arrays | {"weights": state[0], "dims": np.array(dims, float)}))
 
