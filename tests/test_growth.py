@@ -51,3 +51,16 @@ def test_driver_takes_one_row_of_weights_an_epoch(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert taken == [1, 1, 1] and np.isfinite(model.arrays["weights"]).all()
+
+
+def test_rows_of_one_file_are_dealt_to_several_tasks(spark, monkeypatch):
+    """A forest fit keeps its rows with one weight per tree, so a task must not get a whole file of them."""
+    from pyspark.ml import Pipeline
+    from tracework.operators import models as m
+
+    monkeypatch.setattr(m, "TASK_ROWS", 300, raising=False)
+    seen, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, d: seen.append(d.rdd.getNumPartitions()) or fit(self, d))
+    df = spark.range(1000).selectExpr("id", "cast(id % 7 as double) v", "if(id % 7 > 3, 'high', 'low') kind").coalesce(1)
+    out = {r["metric"]: r["value"] for r in m.auto_evaluate(df, "kind", "id", False, trees=5).collect()}
+    assert seen == [4] and out["accuracy"] == 1.0 and out["train_rows"] + out["test_rows"] == 1000
