@@ -64,3 +64,18 @@ def test_rows_of_one_file_are_dealt_to_several_tasks(spark, monkeypatch):
     df = spark.range(1000).selectExpr("id", "cast(id % 7 as double) v", "if(id % 7 > 3, 'high', 'low') kind").coalesce(1)
     out = {r["metric"]: r["value"] for r in m.auto_evaluate(df, "kind", "id", False, trees=5).collect()}
     assert seen == [4] and out["accuracy"] == 1.0 and out["train_rows"] + out["test_rows"] == 1000
+
+
+def test_batches_of_the_feed_are_whole_slices(spark, tmp_path):
+    """Files of a slice hold rows from all of its time: a batch of some of them would make the others' rows late."""
+    from tracework.plans import streams
+    from tracework.plans.registry import Tables
+
+    n = 9000
+    at = np.random.default_rng(4).permutation(n)
+    pdf = pd.DataFrame({"event_id": range(n), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(at * 10, "min"), "user_id": at % 3, "event_type": "view", "value": 1.0})
+    spark.createDataFrame(pdf).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    stream = streams.feed(Tables(spark, str(tmp_path)), file_rows=1000)
+    got = streams.live.run_latest(streams.live.sessions(stream, "ts", "4 hours", "part", "1 hour"), "sessions", ["part", "start_us"]).where("n > 0")
+    assert sorted((r.part, r.n) for r in got.collect()) == [(0, 3000), (1, 3000), (2, 3000)]

@@ -11,18 +11,27 @@ from tracework.session import fresh_path
 from tracework.streaming import live
 
 BATCHES = 4
+#: Rows of a file of the feed; a slice of more is written by several tasks.
+FILE_ROWS = 250_000
 
 
-def feed(t, fmt="parquet"):
-    """events cut into consecutive time slices, one append each, so that batches arrive in time order."""
+def feed(t, fmt="parquet", file_rows=FILE_ROWS):
+    """events cut into consecutive time slices, one append each, so that batches arrive in time order.
+
+    A batch is a whole slice, however many files hold it: the rows of a slice are in no order of time, so a batch that took
+    only some of its files would move the watermark past the others' rows, which would be dropped as late.
+    """
     s = t.series.withColumn("ts", F.timestamp_micros("us"))
     lo, hi = s.agg(F.min("us"), F.max("us")).first()
     path = fresh_path(t.spark, "feed")
     step = (hi - lo) // BATCHES + 1
-    for i in range(BATCHES):
+    sizes = dict(s.where("us is not null").groupBy(F.floor((F.col("us") - lo) / step).cast("int")).count().collect())
+    # every slice gets as many files as the largest needs, unless the smallest has too few rows to fill them all
+    files = max(1, min(-(-max(sizes.values()) // file_rows), min(sizes.values()) // 1000))
+    for i in sorted(sizes):
         part = s.where((F.col("us") >= lo + i * step) & (F.col("us") < lo + (i + 1) * step))
-        part.write.mode("append").format(fmt).save(path)
-    return live.tail(t.spark, path, s.schema, fmt, files_per_batch=1)
+        part.repartition(files).write.mode("append").format(fmt).save(path)
+    return live.tail(t.spark, path, s.schema, fmt, files_per_batch=files)
 
 
 @query("str_tail_csv", "SELECT event_id, user_id AS part, event_type AS channel, epoch_us(ts) AS us, value AS v FROM events")
