@@ -2,6 +2,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tracework.operators import evaluate as ev
@@ -156,3 +157,21 @@ def test_smote_lies_between(gauss):
     lo, hi = x[300:].min(0) - 1e-9, x[300:].max(0) + 1e-9
     a = np.stack(s["x"])
     assert ((a >= lo) & (a <= hi)).all()
+
+
+def test_forest_fits_do_not_depend_on_the_splits_of_the_input(spark, monkeypatch):
+    """A small table is fitted in one part however its files are cut (every part shuffles all nodes of a level); a larger one in even parts."""
+    rng = np.random.default_rng(11)
+    rows = [(i, float(rng.random() < 0.5), 1.0, rng.normal(size=4).tolist()) for i in range(160)]
+    made = spark.createDataFrame(rows, "id long, label double, weight double, x array<double>").select("id", "label", "weight", array_to_vector("x").alias("features"))
+    assert made.rdd.getNumPartitions() == 8
+    cut, whole = (sorted(map(tuple, m.cross_val(d, "id", 8, trees=3, depth=2).collect())) for d in (made, made.coalesce(1)))
+    assert cut == whole
+    monkeypatch.setattr(m, "TASK_ROWS", 60)
+    dealt, fits = m._gathered(made, 8)
+    sizes = sorted(len(p) for p in dealt.rdd.glom().collect())
+    assert len(sizes) == 3 and sum(sizes) == 160 and sizes[0] > 40 and sizes[-1] <= 60 and fits >= m.PARALLEL
+    dealt.unpersist()
+    dealt, fits = m._gathered(made, 2)
+    assert dealt.rdd.getNumPartitions() == 4  # two models alone have to use eight cores
+    dealt.unpersist()
