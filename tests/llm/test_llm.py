@@ -361,3 +361,28 @@ def test_pipeline(spark, odd):
     third = {r.doc_id: r.text for r in c.STAGES[2][1](spark, docs, SF).collect()}
     assert third[6] == "start end" and third[8] == "q" * 3000
     assert c.run(spark, SF).count() > 100
+
+
+def test_segments_hold_little_scratch_memory():
+    """A batch of 5 MB of text is cut in parts, so what a task holds at a time stays under 50 MB; parts of other sizes give the same segments."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from tracework.llm import repeats
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 800, 1000)) for _ in range(1100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1100), pa.int64()), pa.array(range(1100), pa.int64()), pa.array(texts)], names=["_id", "_h", "_text"])
+    docs = SimpleNamespace(schema={"_id": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))}, mapInArrow=lambda f, schema: f)
+    cut = repeats.segments(docs, repeats.Spec("word", 35, 8))
+    want = [r for b in cut([batch.slice(0, 20)]) for r in b.to_pylist()]  # also fills the tables of powers
+    tracemalloc.start()
+    n, first = 0, []
+    for b in cut([batch]):
+        n += len(b)
+        first = first or b.slice(0, len(want)).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6 and first == want and n > len(want)

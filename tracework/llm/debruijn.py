@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracework.llm.repeats import DOC, KEY, Spec, catalogue, digests, keyed, merged, requests, segments, stored, with_texts
+from tracework.llm.repeats import DOC, KEY, SCRATCH, Spec, catalogue, digests, keyed, merged, requests, segments, stored, with_texts
 from tracework.llm.text import canonical, slices, unpack, words
 
 WINDOW, GRAM = 35, 8
@@ -34,7 +34,7 @@ def edges(docs: DataFrame, want: DataFrame, spec: Spec) -> DataFrame:
 
     def cut(batches):
         for whole in batches:
-            for batch in slices(whole, "_n"):
+            for batch in slices(whole, "_n", SCRATCH):
                 texts = unpack(batch.column("_z"), batch.column("_n"))
                 data, offsets = canonical(texts)
                 begin, finish, _, bounds = words(np.frombuffer(data, np.uint8), offsets)
@@ -106,7 +106,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     def cut(batches):
         for whole in batches:
-            for batch in slices(whole, "_n"):
+            for batch in slices(whole, "_n", SCRATCH):
                 texts = unpack(batch.column("_z"), batch.column("_n"))
                 data, offsets = canonical(texts)
                 size, removed, kept = [], [], []

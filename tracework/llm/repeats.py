@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracework.llm.text import BYTES, Prefix, buffer_of, canonical, pack, pieces, slices, words
+from tracework.llm.text import BYTES, PIECE, Prefix, buffer_of, canonical, pack, pieces, slices, words
 from tracework.session import materialise
 
 KEY = ["anchor", "c1", "c2"]
 DOC = ["_id", "_h"]
+#: Bytes of text for which a task holds spans, hashes and digests of all words at a time, which take many times the memory.
+SCRATCH = PIECE
 
 
 @dataclass(frozen=True)
@@ -78,7 +80,7 @@ def segments(docs: DataFrame, spec: Spec) -> DataFrame:
 
     def cut(batches):
         for whole in batches:
-            for batch in slices(whole, "_text"):
+            for batch in slices(whole, "_text", SCRATCH):
                 if spec.unit == "word":
                     data, offsets = canonical(batch.column("_text"))
                     begin, finish, values, bounds = words(np.frombuffer(data, np.uint8), offsets)
