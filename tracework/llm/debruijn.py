@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tracework.llm.repeats import DOC, KEY, SCRATCH, Spec, catalogue, digests, keyed, merged, requests, segments, stored, with_texts
 from tracework.llm.text import canonical, slices, unpack, words
+from tracework.session import scratch
 
 WINDOW, GRAM = 35, 8
 
@@ -76,7 +77,8 @@ def compact(stretches: DataFrame) -> DataFrame:
     A node branches if the stretch before it is followed, or the stretch after it preceded, by different stretches anywhere.
     """
     inside = Window.partitionBy(*DOC).orderBy("lo", "hi")
-    met = stored(stretches.withColumn("before", F.when(F.lag("hi").over(inside) == F.col("lo"), F.lag("stretch").over(inside))), "stretches")
+    met = stretches.withColumn("before", F.when(F.lag("hi").over(inside) == F.col("lo"), F.lag("stretch").over(inside)))
+    met = stored(met, "stretches", keep=True)
     links = met.where("before is not null").groupBy("before", "stretch").agg(F.count("*").alias("times"))
     ahead = links.groupBy("before").agg(F.count("*").alias("n_after"))
     behind = links.groupBy("stretch").agg(F.count("*").alias("n_before"))
@@ -87,9 +89,15 @@ def compact(stretches: DataFrame) -> DataFrame:
     return joined.withColumn("path", path).groupBy(*DOC, "path").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("stretches"))
 
 
+def _paths(docs: DataFrame, spec: Spec) -> DataFrame:
+    """Repeated paths of ``keyed`` rows. Segments and catalogue, many times the stretches, are deleted once those are written."""
+    with scratch():
+        return compact(repeated_stretches(docs, spec))
+
+
 def repeat_paths(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Repeated paths of each text: ``id``, ``first_word``, ``end_word`` and the number of stretches glued into the path."""
-    paths = compact(repeated_stretches(keyed(df, id_col, text_col), Spec("word", window, gram)))
+    paths = _paths(keyed(df, id_col, text_col), Spec("word", window, gram))
     return paths.select(F.col("_id").alias("id"), F.col("lo").alias("first_word"), (F.col("hi") - 1 + window).alias("end_word"), "stretches")
 
 
@@ -97,7 +105,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """Texts without repeated passages, every copy removed: ``id``, ``n_words``, ``removed`` (word spans), ``kept`` (the
     remaining words joined by one space; untouched texts stay as they are in ``text``), and the ``carry`` columns."""
     docs = keyed(df, id_col, text_col)
-    paths = compact(repeated_stretches(docs, Spec("word", window, gram)))
+    paths = _paths(docs, Spec("word", window, gram))
     spans = paths.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
     if carry:
         extra = F.struct(*[F.col(c) for c in carry]).alias("_carry")

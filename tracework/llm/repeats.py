@@ -183,5 +183,5 @@ def merged(spans, window: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    return materialise(df, f"llm-{label}")
+def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    return materialise(df, f"llm-{label}", keep)
