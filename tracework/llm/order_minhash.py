@@ -6,9 +6,12 @@ it is equal only where the texts agree in content and order. Classes are candida
 shingles per sketch and ten sketches, a pair of similarity 0.8 is missed with probability 7e-4 (0.64 per sketch), one of 0.85 with
 7e-5. Candidates of a bucket are linked through a pivot, so no pairs inside a bucket are listed. Pivots come from ``DRAWS`` orders of all
 classes, one of which serves a bucket, so the 45 buckets that a family of texts may share agree on at most about as many pivots, and
-a member is not compared with one per bucket. Members that turn out unlike the pivot meet a second one, from orders of their own. Buckets that still hold several groups (template
+a member is not compared with one per bucket. Buckets that still hold several groups (template
 pages) are settled exactly: of each member at most the rarest fifth of its shingles is kept, rarest among these members first, and members
 of different groups that share one of them are compared. Two texts of similarity 0.8 always share one, so no pair of a bucket is lost.
+Most of these pairs would only tell again that a text belongs to a large group. So each member first meets, per kept shingle, the ``ASKED``
+least altered texts, those with the fewest rarer shingles; where any text of a group is like it, they mostly are. What is listed in
+full afterwards are the pairs of texts that are still in different groups.
 
 A candidate is a link if the in-order common shingles of the two word sequences, found by an edit alignment inside the band that the
 threshold allows, reach a Jaccard similarity of ``SIMILARITY``. Groups are the connected components of links.
@@ -28,11 +31,16 @@ from pyspark.sql import functions as F
 from tracework.llm.graph import components
 from tracework.llm.repeats import keyed, stored, with_texts
 from tracework.llm.text import Prefix, canonical, mix, seeded, slices, unpack, words
+from tracework.session import scratch
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, TAKEN = 10, 2
 #: Orders in which pivots are drawn: more link more members at once, fewer compare each with fewer pivots.
 DRAWS = 4
+#: Texts that all others with a shingle in common meet before pairs are listed.
+ASKED = 4
+#: Cells of an alignment's band for which matching runs are tabulated.
+BAND = 1 << 21
 ODD = seeded(SKETCHES, 101) | np.uint64(1)
 LAST = np.uint64((1 << 64) - 1)
 
@@ -109,12 +117,28 @@ def classes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(cut, f"_id {id_type}, _h long, k binary, keys array<long>")
 
 
+def runs_on_diagonals(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Cells [k + most + 1, x]: how many words agree from place x of ``a`` and place x - k of ``b`` on; diagonals -most-1 to most+1."""
+    n, m = len(a), len(b)
+    y = np.arange(n + 1) - np.arange(-most - 1, most + 2)[:, None]
+    inside = (y >= 0) & (y < m)
+    inside[:, n] = False
+    agree = inside & (np.append(a, a[-1:])[None, :] == b[np.where(inside, y, 0)])
+    stop = np.where(agree, n + 1, np.arange(n + 1)).astype(np.int32)
+    return np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1] - np.arange(n + 1, dtype=np.int32)
+
+
 def alignment(a: np.ndarray, b: np.ndarray, most: int) -> list[int] | None:
     """Lengths of the matching runs of a shortest edit script (insertions and deletions), or None above ``most`` edits.
 
-    Greedy furthest-reaching alignment: only the diagonals within ``most`` of the main one, the band, are ever visited.
+    Greedy furthest-reaching alignment: only the diagonals within ``most`` of the main one, the band, are ever visited. All diagonals
+    advance together; in a band of up to ``BAND`` cells the matching runs are worked out beforehand, in a wider one where they are met.
     """
     n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return None
+    off = most + 1
+    table = runs_on_diagonals(a, b, most) if n and m and (2 * most + 3) * (n + 1) <= BAND else None
 
     def slide(x: int, y: int) -> int:
         begin, step = x, 16
@@ -126,28 +150,36 @@ def alignment(a: np.ndarray, b: np.ndarray, most: int) -> list[int] | None:
             x, y, step = x + size, y + size, min(step * 4, 1 << 16)
         return x - begin
 
-    reach: dict[int, int] = {1: 0}
-    trail: list[dict[int, int]] = []
+    reach = np.full(2 * most + 3, -1, np.int64)
+    reach[off + 1] = 0
+    trail: list[np.ndarray] = []
     for d in range(most + 1):
-        trail.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            x = reach[k + 1] if k == -d or (k != d and reach.get(k - 1, -1) < reach.get(k + 1, -1)) else reach[k - 1] + 1
-            y = x - k
-            if x > n or y > m or y < 0:
-                reach[k] = x
-                continue
-            x += slide(x, y)
-            reach[k] = x
-            if x >= n and x - k >= m:
-                lengths, x, y = [], n, m
-                for e in range(d, -1, -1):
-                    v, k = trail[e], x - y
-                    before = k + 1 if k == -e or (k != e and v.get(k - 1, -1) < v.get(k + 1, -1)) else k - 1
-                    px = v[before] if e else 0
-                    start = (px if before == k + 1 else px + 1) if e else 0
-                    lengths.append(x - start)
-                    x, y = px, px - before
-                return lengths
+        trail.append(reach[off - d - 1 : off + d + 2].astype(np.int32))
+        k = np.arange(-d, d + 1, 2)
+        up, right = reach[k + 1 + off], reach[k - 1 + off]
+        take = right < up
+        take[0] = True
+        if d:
+            take[-1] = False
+        x = np.where(take, up, right + 1)
+        y = x - k
+        good = np.flatnonzero((x <= n) & (y <= m) & (y >= 0))
+        if table is not None:
+            x[good] += table[k[good] + off, x[good]]
+        else:
+            x[good] += np.array([slide(i, j) for i, j in zip(x[good].tolist(), y[good].tolist(), strict=True)], np.int64)
+        reach[k + off] = x
+        # the end lies on one diagonal
+        if (n - m - d) % 2 == 0 and abs(n - m) <= d and reach[n - m + off] == n:
+            lengths, x, y = [], n, m
+            for e in range(d, -1, -1):
+                v, k, mid = trail[e], x - y, e + 1
+                before = k + 1 if k == -e or (k != e and v[mid + k - 1] < v[mid + k + 1]) else k - 1
+                px = int(v[mid + before]) if e else 0
+                start = (px if before == k + 1 else px + 1) if e else 0
+                lengths.append(x - start)
+                x, y = px, px - before
+            return lengths
     return None
 
 
@@ -219,14 +251,19 @@ def _tokens(texts: DataFrame) -> DataFrame:
     return long.mapInArrow(cut, "k binary, root binary, t array<long>").select("k", "root", F.size("t").alias("n"), F.explode("t").alias("t"))
 
 
-def _remaining(bucket: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of different groups among the members of buckets that hold several, by an exact prefix filter.
+def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows with the group (``root``) of their text ``k``."""
+    groups = components(links).withColumnRenamed("node", "k")
+    return rows.join(groups, "k", "left").withColumn("root", F.coalesce("root", "k"))
+
+
+def _prefixes(bucket: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the members of buckets that hold several groups beside their pivot, the rarest shingles (``t``, ``k``, ``n``, ``place``): the prefixes of an exact filter.
 
     If the common shingles of two texts reach the similarity, then in one order of all shingles the first common one stands near
     the front of both; with the rare ones first, what a template gives to all its pages stands behind that place unless they are alike.
     """
-    groups = components(links).withColumnRenamed("node", "k")
-    rows = stored(bucket.select("k", "key").join(groups, "k", "left").withColumn("root", F.coalesce("root", "k")), "grouped")
+    rows = stored(_rooted(bucket.select("k", "key"), links), "grouped")
     several = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     members = rows.join(stored(several, "several"), "key").select("k", "root").distinct()
     tokens = stored(_tokens(members.join(texts, "k").select("k", "root", "ids")), "tokens")
@@ -237,17 +274,41 @@ def _remaining(bucket: DataFrame, links: DataFrame, texts: DataFrame) -> DataFra
     partner = F.greatest(F.col("short"), F.col("n") * SIMILARITY)
     ranked = tokens.join(counts, "t").withColumn("place", place).where(F.col("n") - F.col("place") + 1 >= (F.col("n") + partner) * share - 1e-6)
     # shingles of one group only link nothing new
-    prefix = stored(ranked.where("lo <> hi").select("t", "k", "root", "n", F.col("place").cast("int").alias("place")), "prefixes")
-    left, right = (prefix.toDF("t", f"k{x}", f"root{x}", f"n{x}", f"place{x}") for x in "ab")
+    return stored(ranked.where("lo <> hi").select("t", "k", "root", "n", F.col("place").cast("int").alias("place")), "prefixes")
+
+
+def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of texts of different groups that share a shingle and may reach the similarity, by their lengths and the shingle's places."""
+    left, right = (x.select("t", *[F.col(c).alias(f"{c}{y}") for c in ("k", "root", "n", "place")]) for x, y in ((left, "a"), (right, "b")))
+    share = SIMILARITY / (1 + SIMILARITY)
     enough = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb")) + 1 >= (F.col("na") + F.col("nb")) * share - 1e-6
     near = F.least("na", "nb") >= F.greatest("na", "nb") * SIMILARITY - 1e-6
-    return left.join(right, "t").where((F.col("ka") < F.col("kb")) & (F.col("roota") != F.col("rootb")) & near & enough).select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
+    return left.join(right, "t").where((F.col("roota") != F.col("rootb")) & near & enough)
+
+
+def _asked(prefix: DataFrame) -> DataFrame:
+    """Pairs of each text with the least altered texts that share one of its rarest shingles: at most ``ASKED`` per row of the prefixes."""
+    turn = F.row_number().over(Window.partitionBy("t").orderBy("place", "n", "k"))
+    first = stored(prefix.withColumn("turn", turn).where(F.col("turn") <= ASKED).drop("turn"), "asked")
+    return _meeting(prefix, first).select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
+
+
+def _remaining(prefix: DataFrame, links: DataFrame) -> DataFrame:
+    """All pairs of different groups whose prefixes meet."""
+    rows = stored(_rooted(prefix.drop("root"), links), "grouped")
+    several = rows.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("t")
+    rows = stored(rows.join(several, "t"), "prefixes")
+    return _meeting(rows, rows).where("ka < kb").select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: ``id``, ``_h`` (text hash), ``class_id`` (smallest id of the same words), ``group_id`` (smallest id of
     the group of near duplicates) and ``kept``."""
-    docs = keyed(df, id_col, text_col)
+    with scratch():
+        return _grouped(keyed(df, id_col, text_col))
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
     rows = stored(classes(docs), "classes")
     place = F.struct(F.col("_id").isNull().alias("n"), "_id", "_h")
     reps = rows.groupBy("k").agg(F.min(place).alias("first"), F.first("keys").alias("keys"))
@@ -258,21 +319,18 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     nodes = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
     texts = stored(_word_ids(docs, reps.join(nodes, "k").select("k", "first._id", "first._h")), "words")
     checked = stored(_verified(pairs, texts), "checked")
-    unlike = checked.where("not ok").select("a", "b")
-    # members unlike their pivot meet a pivot of their own
-    again = bucket.join(unlike, (F.least("k", "pivot") == F.col("a")) & (F.greatest("k", "pivot") == F.col("b")), "left_semi").select("k", "key")
-    more, _ = _pivots(again, 1)
-    more = stored(_verified(more.join(checked, ["a", "b"], "left_anti"), texts), "checked")
-    checked = checked.union(more)
-    rest = _remaining(bucket, checked.where("ok").select("a", "b"), texts).join(checked, ["a", "b"], "left_anti")
-    checked = checked.union(stored(_verified(stored(rest, "candidates"), texts), "checked"))
+    prefix = _prefixes(bucket, checked.where("ok").select("a", "b"), texts)
+    for meet in (_asked, lambda prefix: _remaining(prefix, checked.where("ok").select("a", "b"))):
+        pairs = stored(meet(prefix).join(checked, ["a", "b"], "left_anti"), "candidates")
+        checked = checked.union(stored(_verified(pairs, texts), "checked"))
     groups = components(checked.where("ok").select("a", "b"))
     named = reps.select("k", "first").join(groups.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     named = stored(named, "named")
     best = stored(named.groupBy("root").agg(F.min("first").alias("best")), "best")
     known = stored(named.join(best, "root").select("k", "first", "best"), "known")
     whole = rows.select("_id", "_h", "k").distinct().join(known, "k")
-    return whole.select(F.col("_id").alias("id"), "_h", F.col("first._id").alias("class_id"), F.col("best._id").alias("group_id"), (place == F.col("best")).alias("kept"))
+    whole = whole.select(F.col("_id").alias("id"), "_h", F.col("first._id").alias("class_id"), F.col("best._id").alias("group_id"), (place == F.col("best")).alias("kept"))
+    return stored(whole, "groups", keep=True)
 
 
 def digest(df: DataFrame) -> DataFrame:
