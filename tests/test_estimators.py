@@ -130,3 +130,14 @@ def test_tables_with_gaps_and_many_categories(spark):
         out = {r["metric"]: r["value"] for r in m.auto_evaluate(d.drop("goal" if target == "kind" else "kind"), target, "id", regression, trees=10).collect()}
         assert out["train_rows"] + out["test_rows"] == (11_880 if target == "kind" else 12_000)
         assert out["accuracy" if target == "kind" else "r2"] > 0.7
+
+
+def test_autoencoder_takes_all_epochs_of_a_small_partition_in_one_job(spark, monkeypatch):
+    from tracework.operators import estimators as e
+    x = np.random.default_rng(6).normal(size=(70, 4))
+    df = spark.createDataFrame(pd.DataFrame({"x": x.tolist()}), "x array<double>").coalesce(1)
+    spark.sparkContext.setJobGroup("epochs", "epochs")
+    once = AutoEncoder(epochs=12, batch=16).fit(df).arrays["weights"]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("epochs")) < 12
+    monkeypatch.setattr(e, "HELD", 0)  # a job per epoch, as for larger tables
+    np.testing.assert_array_equal(AutoEncoder(epochs=12, batch=16).fit(df).arrays["weights"], once)

@@ -175,3 +175,41 @@ def test_forest_fits_do_not_depend_on_the_splits_of_the_input(spark, monkeypatch
     dealt, fits = m._gathered(made, 2)
     assert dealt.rdd.getNumPartitions() == 4  # two models alone have to use eight cores
     dealt.unpersist()
+
+
+def test_ablation_fits_subsets_at_a_time_and_scores_a_row_once(spark):
+    from threading import Barrier
+    d = spark.createDataFrame([(i, i % 3 == 0, "new" if i % 3 else "wear", float(i), None if i == 5 else float(-i)) for i in range(30)], "id int, y boolean, state string, a double, b double")
+    d = d.withColumn("y", F.col("y").cast("int"))
+    seen, both = spark.sparkContext.accumulator(0), Barrier(2)
+
+    def score(df, cols):
+        both.wait(60)  # breaks unless both subsets are under way
+
+        @F.pandas_udf("double")
+        def run(s: pd.Series) -> pd.Series:
+            seen.add(len(s))
+            return s * 2
+
+        return df.withColumn("score", run(F.col(cols[0])))
+
+    got = {r["experiment"]: r.asDict() for r in ev.ablation(d, {"first": ["a"], "second": ["b"]}, {"a": ["a"], "b": ["b"]}, score, "state", "y", "new", "wear").collect()}
+    assert seen.value == 60 and set(got) == {"first", "second"}
+    new, wear = [float(i) for i in range(30) if i % 3], [float(i) for i in range(30) if i % 3 == 0]
+    assert got["first"]["ref_mean"] == pytest.approx(2 * np.mean(new)) and got["first"]["test_mean"] == pytest.approx(2 * np.mean(wear))
+    assert got["second"]["ref_mean"] == pytest.approx(-2 * np.mean([v for v in new if v != 5])) and got["second"]["features"] == 1
+    assert got["first"]["roc_auc"] == pytest.approx(np.mean([(w > n) + 0.5 * (w == n) for w in wear for n in new]))
+
+
+def test_decompositions_take_turns(spark):
+    """Spark's own decomposition, run by several threads, fails to converge or gives wrong components."""
+    from multiprocessing.pool import ThreadPool
+    import pickle
+    from tracework.operators import estimators as e
+    rng = np.random.default_rng(12)
+    d = spark.createDataFrame([(rng.normal(size=16).tolist(),) for _ in range(200)], "x array<double>").cache()
+    one = lambda _: e.PcaReconstruction(share=0.5).fit(d).arrays["components"]
+    want = one(0)
+    with ThreadPool(8) as pool:
+        assert all(np.abs(c - want).max() < 1e-6 for c in pool.map(one, range(32)))
+    assert pickle.loads(pickle.dumps(e.DECOMPOSING)).lock.acquire(blocking=False)

@@ -11,6 +11,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
 from math import comb, factorial, prod, sqrt
+from threading import Lock
 
 import numpy as np
 import pandas as pd
@@ -34,10 +35,26 @@ TREES, SUBSAMPLE = 300, 256
 HIDDEN = (64, 32, 8, 32, 64)
 #: Weight rows of an epoch that one task adds up at most.
 LANES = 64
+#: Numbers of training rows that a task keeps from epoch to epoch at most (32 MB).
+HELD = 1 << 22
 #: Standard deviations below this count as this.
 FLOOR = 1e-12
 
 
+class _Turns:
+    """A lock that may travel with this module: a copy is a new one."""
+
+    def __init__(self):
+        self.lock = Lock()
+
+    def __reduce__(self):
+        return _Turns, ()
+
+
+#: Spark decomposes on the driver with routines that keep static values: two at a time fail to converge or give wrong components.
+DECOMPOSING = _Turns()
+
+
 def _param(name: str, doc: str, kind) -> Param:
     return Param(Params._dummy(), name, doc, typeConverter=kind)
 
@@ -179,7 +196,8 @@ class PcaReconstruction(ArrayEstimator):
         rows = self._numbers(df)
         arrays = scaling(rows)
         z = rows.select(array_to_vector(scale("x", arrays)).alias("z"))
-        model = PCA(k=len(arrays["mean"]), inputCol="z", outputCol="pc").fit(z)
+        with DECOMPOSING.lock:
+            model = PCA(k=len(arrays["mean"]), inputCol="z", outputCol="pc").fit(z)
         explained = np.cumsum(model.explainedVariance.toArray())
         k = min(len(explained), int(np.searchsorted(explained, self.getOrDefault(self.share), side="right")) + 1)
         return self._made(PcaReconstructionModel(arrays | {"components": model.pc.toArray()[:, :k]}))
@@ -278,7 +296,8 @@ class AutoEncoder(ArrayEstimator):
 
     One Spark job per epoch: each task walks its rows in mini-batches, every step with the weights that the step before left, and
     returns the weights and Adam moments it ended with; their averages, weighted by rows, start the next epoch.  With one partition
-    this is plain mini-batch training.  Tasks add these up, per lane first, so the driver takes one weight-sized row an epoch.
+    this is plain mini-batch training, and a partition of up to ``HELD`` numbers takes all epochs in one job, with the same result.
+    Tasks add these up, per lane first, so the driver takes one weight-sized row a job.
     """
 
     epochs = _param("epochs", "passes over the rows", TypeConverters.toInt)
@@ -302,41 +321,51 @@ class AutoEncoder(ArrayEstimator):
         flat = np.concatenate([np.concatenate([rng.uniform(-1, 1, a * b), rng.uniform(-1, 1, b)]) / np.sqrt(a) for a, b in zip(dims, dims[1:], strict=False)])
         state, steps = np.stack([flat, np.zeros_like(flat), np.zeros_like(flat)]), 0
 
-        for epoch in range(self.getOrDefault(self.epochs)):
+        def walk(blocks: Iterator[np.ndarray], state: np.ndarray, steps: int, epoch: int) -> tuple[np.ndarray, int, int]:
+            """One epoch over the rows of a task: weights and moments times rows, rows, steps."""
+            (weights, first, second), done, seen = state.copy(), steps, 0
+            for data in blocks:
+                data = data[np.random.default_rng([seed, epoch, seen]).permutation(len(data))]
+                for at in range(0, len(data), size):
+                    g = _gradient(_layers(weights, dims), data[at : at + size])
+                    done += 1
+                    first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+                    weights = weights - rate * (first / (1 - 0.9**done)) / (np.sqrt(second / (1 - 0.999**done)) + 1e-8)
+                seen += len(data)
+            return np.stack([weights, first, second]) * seen, seen, done - steps
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("part")  # sums do not depend on the order in which rows arrive
+            return pd.DataFrame({"part": pdf["part"].iloc[:1], "n": [pdf["n"].sum()], "steps": [pdf["steps"].max()], "s": [sum(np.array(s) for s in pdf["s"]).tolist()]})
+
+        def add_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = [f for f in frames if len(f)]
+            if held:
+                yield add(pd.concat(held))
+
+        schema, epochs = "part int, n long, steps long, s array<double>", self.getOrDefault(self.epochs)
+        at_once = epochs if parts == 1 and train.count() * dims[0] <= HELD else 1
+        for begun in range(0, epochs, at_once):
             start = spark.sparkContext.broadcast((state, steps))
 
-            def walk(frames: Iterator[pd.DataFrame], start=start, epoch=epoch) -> Iterator[pd.DataFrame]:
-                (weights, first, second), done = start.value[0].copy(), start.value[1]
-                seen, begun = 0, done
-                for pdf in frames:
-                    data = np.stack(pdf["z"].to_numpy())
-                    data = data[np.random.default_rng([seed, epoch, seen]).permutation(len(data))]
-                    for at in range(0, len(data), size):
-                        g = _gradient(_layers(weights, dims), data[at : at + size])
-                        done += 1
-                        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-                        weights = weights - rate * (first / (1 - 0.9**done)) / (np.sqrt(second / (1 - 0.999**done)) + 1e-8)
-                    seen += len(data)
-                if seen:
-                    part = TaskContext.get().partitionId()
-                    yield pd.DataFrame({"part": [part], "n": [seen], "steps": [done - begun], "s": [(np.stack([weights, first, second]) * seen).ravel().tolist()]})
-
-            def add(pdf: pd.DataFrame) -> pd.DataFrame:
-                pdf = pdf.sort_values("part")  # sums do not depend on the order in which rows arrive
-                return pd.DataFrame({"part": pdf["part"].iloc[:1], "n": [pdf["n"].sum()], "steps": [pdf["steps"].max()], "s": [sum(np.array(s) for s in pdf["s"]).tolist()]})
-
-            def add_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                held = [f for f in frames if len(f)]
-                if held:
-                    yield add(pd.concat(held))
-
-            schema = "part int, n long, steps long, s array<double>"
-            ended = train.mapInPandas(walk, schema)
+            def run(frames: Iterator[pd.DataFrame], start=start, begun=begun) -> Iterator[pd.DataFrame]:
+                (state, steps), n, taken = start.value, 0, 0
+                blocks = (np.stack(f["z"].to_numpy()) for f in frames if len(f))
+                blocks = blocks if at_once == 1 else list(blocks)
+                for epoch in range(begun, begun + at_once):
+                    if n:
+                        state = total / n
+                    total, n, more = walk(blocks, state, steps + taken, epoch)
+                    taken += more
+                if n:
+                    yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [n], "steps": [taken], "s": [total.ravel().tolist()]})
+
+            ended = train.mapInPandas(run, schema)
             if parts > LANES:
                 ended = ended.groupBy(F.pmod("part", F.lit(LANES))).applyInPandas(add, schema)
             if parts > 1:
                 ended = ended.repartition(1).mapInPandas(add_all, schema)
-            ended = ended.first()
+            (ended,) = ended.collect()  # first() would leave the worker's stream half read, and each epoch would start a new worker
             state = np.array(ended["s"]).reshape(state.shape) / ended["n"]
             steps += ended["steps"]
             start.unpersist()

@@ -2,22 +2,25 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracework.operators.aggregates import long_features
 from tracework.operators.ordered import ordered_columns
+from tracework.session import materialise
 
 
-def score_steps(df: DataFrame, keys: Sequence[str], y: str, score: str) -> DataFrame:
-    """Cumulative counts at every distinct score, highest first: pos, neg, tp, fp, all_pos, all_neg.
+def score_steps(df: DataFrame, keys: Sequence[str], y: str, score: str, counted: Mapping[str, Column] | None = None) -> DataFrame:
+    """Cumulative counts at every distinct score, highest first: pos, neg, tp, fp, all_pos, all_neg; and of rows for which a condition of ``counted`` holds.
 
     Rows are first counted per distinct score, so ties share a step and the running
     sums run over value ranges, not over one sorted task.
     """
     counts = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
+        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"), *[F.count_if(c).alias(out) for out, c in (counted or {}).items()])
     counts = counts.withColumn("_down", -F.col("score"))
     return ordered_columns(
         counts, keys, ["_down"], running={"tp": "pos", "fp": "neg"},
@@ -106,15 +109,23 @@ def fuse(df: DataFrame, force: str = "force_z", punch: str = "punch_z", sheet: s
 def ablation(features: DataFrame, experiments: Mapping[str, Sequence[str]], columns_of: Mapping[str, Sequence[str]],
              score, state: str, label: str, ref: str, test: str, scores: Sequence[str] = ("score",)) -> DataFrame:
     """Run ``score(df, columns) -> df with the columns scores`` (one per model) per channel subset and compare all of them."""
-    parts = []
-    for name, channels in experiments.items():
+    def one(experiment: tuple[str, Sequence[str]]) -> DataFrame:
+        name, channels = experiment
         cols = [c for ch in channels for c in columns_of[ch]]
-        each = F.explode(F.array(*[F.struct(F.lit(s).alias("model"), F.col(s).cast("double").alias("score")) for s in scores]))
-        parts.append(score(features, cols).select(state, label, F.lit(name).alias("experiment"), F.lit(len(cols)).alias("features"), each.alias("_e")).select("*", "_e.*").drop("_e"))
+        # written down: filters on a score, and the explode, would score the rows again
+        scored = materialise(score(features, cols).select(state, label, *[F.col(s).cast("double").alias(s) for s in scores]), "scored")
+        each = F.explode(F.array(*[F.struct(F.lit(s).alias("model"), F.col(s).alias("score")) for s in scores]))
+        return scored.select(state, label, F.lit(name).alias("experiment"), F.lit(len(cols)).alias("features"), each.alias("_e")).select("*", "_e.*").drop("_e")
+
+    # a fit is a chain of small jobs that leaves most cores idle
+    spark = features.sparkSession
+    with ThreadPool(max(1, min(len(experiments), spark.sparkContext.defaultParallelism))) as pool:
+        parts = pool.map(inheritable_thread_target(spark)(one), experiments.items(), chunksize=1)
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
     keys = ["experiment", "features", "model"]
-    means = rows.groupBy(*keys).agg(F.avg(F.when(F.col(state) == ref, F.col("score"))).alias("ref_mean"),
-                                    F.avg(F.when(F.col(state) == test, F.col("score"))).alias("test_mean"))
-    return areas(rows, keys, label, "score").join(means, keys)
+    # means and areas from the same counts
+    steps = score_steps(rows, keys, label, "score", {"_ref": F.col(state) == ref, "_test": F.col(state) == test})
+    mean = lambda n: F.sum(F.when(F.col(n) > 0, F.col("score") * F.col(n))) / F.sum(F.when(F.col(n) > 0, F.col(n)))
+    return steps.groupBy(*keys).agg(*_areas(), mean("_ref").alias("ref_mean"), mean("_test").alias("test_mean"))
