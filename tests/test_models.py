@@ -213,3 +213,29 @@ def test_decompositions_take_turns(spark):
     with ThreadPool(8) as pool:
         assert all(np.abs(c - want).max() < 1e-6 for c in pool.map(one, range(32)))
     assert pickle.loads(pickle.dumps(e.DECOMPOSING)).lock.acquire(blocking=False)
+
+
+def test_grid_search_holds_few_nodes_on_the_driver(spark, monkeypatch):
+    """The folds and forests of Spark's cross-validation while a forest is small; a larger one is grown in shares whose votes are summed."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(150, 4))
+    rows = [(i, float(v[0] + v[1] + rng.normal() > 0), 1.0, v.tolist()) for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows + rows[:3], "id long, label double, weight double, x array<double>").select("id", "label", "weight", array_to_vector("x").alias("features")).coalesce(1).cache()
+    rf = m.forest_classifier()
+    grid = ParamGridBuilder().addGrid(rf.numTrees, (5, 7)).addGrid(rf.maxDepth, (3,)).addGrid(rf.minInstancesPerNode, (2,)).build()
+    want = CrossValidator(estimator=rf, estimatorParamMaps=grid, numFolds=2, seed=42, evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")).fit(m._gathered(d, 4)[0]).avgMetrics
+    search = lambda: m.grid_search(d, (5, 7), (3,), (2,), 2).orderBy("trees").collect()
+    assert [r["accuracy"] for r in search()] == want
+    sizes, fit = [], m.RandomForestClassifier._fit
+    monkeypatch.setattr(m.RandomForestClassifier, "_fit", lambda self, df: sizes.append(self.getNumTrees()) or fit(self, df))
+    monkeypatch.setattr(m, "NODES", 1)
+    few = search()
+    assert sorted(sizes) == sorted(2 * [2, 3, 2, 2, 3]) and [r["trees"] for r in few] == [5, 7] and sum(r["best"] for r in few) >= 1
+    # the votes of the shares, by hand
+    train, test = d.where("id % 2 = 0").cache(), d.where("id % 2 = 1").withColumn("_row", F.monotonically_increasing_id()).cache()
+    got = m._forest_accuracy(train, test, 76, 1, 5, 3, 2, 42)
+    models = [m.forest_classifier(trees=n, depth=3, min_rows=2, seed=42 + i).fit(train) for i, n in enumerate((2, 3))]
+    votes = sum(np.stack([r["rawPrediction"].toArray() for r in f.transform(test).orderBy("id").collect()]) for f in models)
+    assert got == pytest.approx(np.mean(votes.argmax(1) == [r["label"] for r in test.orderBy("id").collect()]))
