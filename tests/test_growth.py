@@ -1,6 +1,7 @@
 """Figures of a task or of the driver that must not grow with the table."""
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tracework.operators import signals as sig
@@ -79,3 +80,19 @@ def test_batches_of_the_feed_are_whole_slices(spark, tmp_path):
     stream = streams.feed(Tables(spark, str(tmp_path)), file_rows=1000)
     got = streams.live.run_latest(streams.live.sessions(stream, "ts", "4 hours", "part", "1 hour"), "sessions", ["part", "start_us"]).where("n > 0")
     assert sorted((r.part, r.n) for r in got.collect()) == [(0, 3000), (1, 3000), (2, 3000)]
+
+
+def test_forest_on_any_table_keeps_no_copy_of_it(spark, monkeypatch):
+    """The coded table is read again for each pass; results do not need it kept."""
+    from pyspark.sql import DataFrame
+
+    from tracework.operators import models as m
+
+    d = spark.range(400).selectExpr("id", "if(id % 9 = 0, null, id % 4) v", "concat('c', id % 3) name", "if(id % 50 = 49, null, double(id % 4)) goal", "if(id % 4 > 1, 'high', 'low') kind")
+    for kind in ("persist", "cache"):
+        monkeypatch.setattr(DataFrame, kind, lambda self, *a: pytest.fail("a table is kept"))
+        monkeypatch.setattr(type(d), kind, lambda self, *a: pytest.fail("a table is kept"))
+    for target, regression in (("goal", True), ("kind", False)):
+        out = {r["metric"]: r["value"] for r in m.auto_evaluate(d, target, "id", regression, trees=10).collect()}
+        assert out["train_rows"] + out["test_rows"] == (392 if regression else 400) and out["test_rows"] > 40
+        assert out["r2" if regression else "accuracy"] > 0.7
